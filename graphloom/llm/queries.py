@@ -6,13 +6,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions.keys import sql_norm_uid
-from graphloom.llm import bpe, chunker, knn, leakage
+from graphloom.llm import bpe, chunker, knn, leakage, syntax
 from graphloom.session import table
 
 #: Radius factors of problem 5; their recall is measured in tests/llm and given in the README.
 RELAX_PAIRS, RELAX_ALL = 0.2, 0.15
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return syntax.unparsable(table(spark, d, "source_files")).select("path").distinct()
+
+
+def p1_failures(spark: SparkSession, d: str) -> DataFrame:
+    return syntax.unparsable(table(spark, d, "source_files"))
+
+
+def p1_rates(spark: SparkSession, d: str) -> DataFrame:
+    return syntax.rates(table(spark, d, "source_files"), table(spark, d, "entities"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return knn.similar_pairs(table(spark, d, "entity_vectors"), relax=RELAX_PAIRS)
 
@@ -42,7 +54,7 @@ def p9_pieces(spark: SparkSession, d: str) -> DataFrame:
     return chunker.split_oversized(table(spark, d, "documents"))
 
 
-QUERIES = {"p5_found": p5_found, "p5_neighbors": p5_neighbors, "p7_ids": p7_ids, "p8_found": p8_found, "p8_items": p8_items, "p9_found": p9_found, "p9_pieces": p9_pieces}
+QUERIES = {"p1_found": p1_found, "p1_failures": p1_failures, "p1_rates": p1_rates, "p5_found": p5_found, "p5_neighbors": p5_neighbors, "p7_ids": p7_ids, "p8_found": p8_found, "p8_items": p8_items, "p9_found": p9_found, "p9_pieces": p9_pieces}
 
 _VECTORS = f"""latest AS (
   SELECT uid, provider, vector FROM (
