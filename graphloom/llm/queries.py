@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions.keys import sql_norm_uid
-from graphloom.llm import bpe, chunker, knn, leakage, syntax
+from graphloom.llm import bpe, chunker, docpairs, knn, leakage, syntax
 from graphloom.session import table
 
 #: Radius factors of problem 5; their recall is measured in tests/llm and given in the README.
@@ -33,6 +33,14 @@ def p5_neighbors(spark: SparkSession, d: str) -> DataFrame:
     return knn.most_similar(table(spark, d, "entity_vectors"), relax=RELAX_ALL)
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return docpairs.documented(table(spark, d, "source_files"), table(spark, d, "entities")).select("uid")
+
+
+def p6_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return docpairs.documented(table(spark, d, "source_files"), table(spark, d, "entities"))
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode_documents(table(spark, d, "documents"))
 
@@ -54,7 +62,7 @@ def p9_pieces(spark: SparkSession, d: str) -> DataFrame:
     return chunker.split_oversized(table(spark, d, "documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_failures": p1_failures, "p1_rates": p1_rates, "p5_found": p5_found, "p5_neighbors": p5_neighbors, "p7_ids": p7_ids, "p8_found": p8_found, "p8_items": p8_items, "p9_found": p9_found, "p9_pieces": p9_pieces}
+QUERIES = {"p1_found": p1_found, "p1_failures": p1_failures, "p1_rates": p1_rates, "p5_found": p5_found, "p5_neighbors": p5_neighbors, "p6_found": p6_found, "p6_pairs": p6_pairs, "p7_ids": p7_ids, "p8_found": p8_found, "p8_items": p8_items, "p9_found": p9_found, "p9_pieces": p9_pieces}
 
 _VECTORS = f"""latest AS (
   SELECT uid, provider, vector FROM (
