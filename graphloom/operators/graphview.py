@@ -29,7 +29,7 @@ def current_entities(entities: DataFrame) -> DataFrame:
 
 def merged_relations(relations: DataFrame) -> DataFrame:
     """One row for each (from_uid, to_uid, kind): the observation of highest priority, then confidence, then id."""
-    order = F.struct(F.coalesce("source_priority", F.lit(0)), F.coalesce("confidence", F.lit(0.0)), "id")
+    order = F.struct(F.coalesce("source_priority", F.lit(0)), F.coalesce("confidence", F.lit(0.0)), "id", F.coalesce("weight", F.lit(-1.0)), F.coalesce("reason", F.lit("")))
     row = F.struct("id", "reason", "weight", "confidence", "provenance", "is_synthetic", "source_priority")
     return (
         relations.where(F.col("from_uid").isNotNull() & F.col("to_uid").isNotNull() & F.col("kind").isNotNull())
@@ -99,7 +99,7 @@ ENT = f"""ent AS (
 REL = f"""rel AS (
   SELECT * EXCLUDE (rn) FROM (
     SELECT id, {sql_norm_uid('from_uid')} AS from_uid, {sql_norm_uid('to_uid')} AS to_uid, kind, reason, weight, confidence, provenance, is_synthetic, source_priority,
-      row_number() OVER (PARTITION BY {sql_norm_uid('from_uid')}, {sql_norm_uid('to_uid')}, kind ORDER BY coalesce(source_priority, 0) DESC, coalesce(confidence, 0) DESC, id DESC) AS rn
+      row_number() OVER (PARTITION BY {sql_norm_uid('from_uid')}, {sql_norm_uid('to_uid')}, kind ORDER BY coalesce(source_priority, 0) DESC, coalesce(confidence, 0) DESC, id DESC, coalesce(weight, -1) DESC, coalesce(reason, '') DESC) AS rn
     FROM relations WHERE from_uid IS NOT NULL AND to_uid IS NOT NULL AND kind IS NOT NULL) WHERE rn = 1)"""
 CONTAINS = """derived AS (
   SELECT 'file:' || path AS from_uid, uid AS to_uid, 'contains' AS kind, 1.0::DOUBLE AS confidence FROM ent
