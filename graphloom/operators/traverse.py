@@ -53,7 +53,7 @@ def impact_summary(relations: DataFrame, entities: DataFrame, target: str, max_d
     reached = cut(impact(relations, target, max_depth))
     known = reached.join(entities.select("uid", "kind", "path", "is_public"), "uid", "left")
     direct = relations.where((F.col("to_uid") == target) & F.col("kind").isin(schema.IMPACT_KINDS))
-    confidence = direct.agg(F.coalesce(F.greatest(F.lit(0.1), F.avg("confidence")), F.lit(0.4)).alias("confidence"))
+    confidence = direct.agg(F.when(F.avg("confidence").isNull(), 0.4).otherwise(F.greatest(F.lit(0.1), F.avg("confidence"))).alias("confidence"))
     s = known.agg(
         F.count_if(F.col("depth") == 1).alias("direct"),
         F.count_if(F.col("depth") > 1).alias("transitive"),
