@@ -188,7 +188,7 @@ class Grammar:
     def parse(self, kinds: list[str], soft: list[bool] | None = None) -> int | None:
         """None if the kinds are in the language, else the number of the failing token; their count means truncation.
 
-        soft tells before which tokens (and the end) a ';' may be put in where the token itself cannot be.
+        soft tells before which tokens (and the end) the token AUTO may be put in where the token itself cannot be.
         """
         if len(self._made) > self.MOST:
             self._build()
@@ -196,10 +196,10 @@ class Grammar:
         for i, k in enumerate(kinds):
             next_ = state.memo.get(k) or derive(state, k)
             if next_ is empty and soft is not None and (soft[i] or k == "}"):
-                next_ = derive(derive(state, ";"), k)
+                next_ = derive(derive(state, "AUTO"), k)
             if next_ is empty:
                 return i
             state = next_
-        if self.is_nullable(state) or (soft is not None and self.is_nullable(derive(state, ";"))):
+        if self.is_nullable(state) or (soft is not None and self.is_nullable(derive(state, "AUTO"))):
             return None
         return len(kinds)

@@ -73,7 +73,9 @@ def mark(ext: str, text: str) -> tuple[str, list[tuple[int, int]]]:
             a, b = m.start("rest") - m.start(), m.end("rest") - m.start()
             out.append(_BLANK.sub(" ", body[:a]) + (body[a:b] if "'" not in body[a:b] and '"' not in body[a:b] else " " * (b - a)) + _BLANK.sub(" ", body[b:]))
         else:
-            out.append(_BLANK.sub(" ", body))
+            blank = _BLANK.sub(" ", body)
+            # A string that is a statement still shows where its line is indented.
+            out.append('"' + blank[1:] if ext == "py" and m["text"] else blank)
         at = max(end, at + 1)
         if end == m.start():
             out.append(text[end : at])
@@ -125,7 +127,7 @@ def _header_end(ext: str, masked: str, at: int) -> tuple[int, bool]:
     if ext == "rb":
         m = re.compile(r"[ \t]*\(").match(masked, at)
         end = _balanced(masked, m.end() - 1) if m else at
-        return (end if m else _line_end(masked, at)), True
+        return end, True
     angle = 0
     while at < n:
         c = masked[at]
@@ -364,9 +366,9 @@ def functions(ext: str, text: str) -> list[tuple[str, str, int, int, str, str, s
         name = groups.get("name") or groups.get("a") or groups.get("b") or groups.get("c")
         start = m.start()
         header, has_body = _header_end(ext, masked, m.end("name") if "name" in groups else m.end() - 1 if groups["b"] is None else m.end("b"))
-        if ext == "ts" and groups["c"] and not has_body and not groups["indent"]:
+        if ext == "ts" and groups["c"] and not has_body and "abstract" not in m[0]:
             continue  # a call
-        width = len(m["indent"].expandtabs(8))
+        width = len(re.compile(r"[ \t]*").match(text, start)[0].expandtabs(8))  # of the text: a comment may stand before the signature
         owner = next((n for p, w, n in reversed(owners) if p < start and w < width), None)
         end = _body_end(ext, masked, start, header, m["indent"]) if has_body else header
         if ext == "py":
@@ -375,7 +377,8 @@ def functions(ext: str, text: str) -> list[tuple[str, str, int, int, str, str, s
             doc = _above(ext, text, masked, comments, start)
         line = text.count("\n", 0, start) + 1
         last = line + text.count("\n", start, end)
-        out.append((name, f"{owner}.{name}" if owner else name, line, last, text[start:header].strip(), text[start:end], doc))
+        signature = text[start : max(header, re.compile(r"[^\n;]*").match(masked, header).end()) if ext == "rb" else header].strip()
+        out.append((name, f"{owner}.{name}" if owner else name, line, last, signature, text[start:end], doc))
     return out
 
 

@@ -1,6 +1,6 @@
 """Grammars of Python 3.13, TypeScript, Rust 2021 and Ruby 3 over the token kinds of the lexers.
 
-They follow the languages' published grammars, widened where a rule needs more than token kinds
+AUTO is a semicolon put in by rule where a line ends. They follow the languages' published grammars, widened where a rule needs more than token kinds
 (assignment targets, for instance). No rule is left-recursive.
 """
 
@@ -87,17 +87,18 @@ def _any_of(words: str) -> str:
 
 TYPESCRIPT = f"""
 file = stmt* ;
+semi = ';' | AUTO ;
 id = NAME | {_any_of(_TS_SOFT)} ;
 word = id | {_any_of(_TS_HARD)} ;
 stmt = ';' | block | decl | 'if' '(' seq ')' stmt ( 'else' stmt )? | 'for' 'await'? '(' forhead ')' stmt | 'while' '(' seq ')' stmt
-  | 'do' stmt 'while' '(' seq ')' ';'? | 'return' seq? ';' | 'throw' seq ';' | 'break' id? ';' | 'continue' id? ';' | 'debugger' ';'
+  | 'do' stmt 'while' '(' seq ')' semi? | 'return' seq? semi | 'throw' seq semi | 'break' id? semi | 'continue' id? semi | 'debugger' semi
   | 'switch' '(' seq ')' '{{' ( ( 'case' seq | 'default' ) ':' stmt* )* '}}' | 'try' block ( 'catch' ( '(' bind ( ':' type )? ')' )? block )? ( 'finally' block )?
-  | id ':' stmt | import | export | seq ';' ;
+  | id ':' stmt | import | export | seq semi ;
 block = '{{' stmt* '}}' ;
 forhead = ( varkw binding ( ',' binding )* | seq )? ';' seq? ';' seq? | ( varkw bind ( ':' type )? | postfix ) ( 'of' | 'in' ) seq ;
 varkw = 'var' | 'let' | 'const' | 'using' | 'await' 'using' ;
-decl = varkw binding ( ',' binding )* ';' | 'async'? function | decorator* 'abstract'? class | 'const'? enum | interface | alias | ( 'namespace' | 'module' | 'global' ) modname? block
-  | 'declare' decl | function1 ';' ;
+decl = varkw binding ( ',' binding )* semi | 'async'? function | decorator* 'abstract'? class | 'const'? enum | interface | alias | ( 'namespace' | 'module' | 'global' ) modname? block
+  | 'declare' decl | function1 semi ;
 modname = id ( '.' id )* | STRING ;
 binding = bind '!'? ( ':' type )? ( '=' assign )? ;
 bind = id | '{{' ( bprop ( ',' bprop )* ','? )? '}}' | '[' ( bel? ( ',' bel? )* ) ']' ;
@@ -111,18 +112,18 @@ rettype = type | 'asserts' ( id | 'this' ) ( 'is' type )? | ( id | 'this' ) 'is'
 decorator = '@' ( '(' seq ')' | id ( '.' ( word | PRIVATE ) )* targs? ( '(' args? ')' )? ) ;
 class = 'class' id? tparams? ( 'extends' postfix targs? )? ( 'implements' typeref ( ',' typeref )* )? '{{' member* '}}' ;
 modifier = 'public' | 'private' | 'protected' | 'static' | 'abstract' | 'readonly' | 'override' | 'async' | 'declare' | 'accessor' | 'get' | 'set' ;
-member = ';' | 'static' block | decorator* modifier* ( '*'? key ( '?' | '!' )? ( method | ( ':' type )? ( '=' assign )? ';' ) | index ';' ) ;
-method = tparams? '(' params? ')' ( ':' rettype )? ( block | ';' ) ;
+member = ';' | 'static' block | decorator* modifier* ( '*'? key ( '?' | '!' )? ( method | ( ':' type )? ( '=' assign )? semi ) | index semi ) ;
+method = tparams? '(' params? ')' ( ':' rettype )? ( block | semi ) ;
 index = '[' id ':' type ']' ':' type ;
 key = word | PRIVATE | STRING | NUMBER | '[' assign ']' ;
 enum = 'enum' id '{{' ( key ( '=' assign )? ( ',' key ( '=' assign )? )* ','? )? '}}' ;
 interface = 'interface' id tparams? ( 'extends' typeref ( ',' typeref )* )? objtype ;
-alias = 'type' id tparams? '=' type ';' ;
-import = 'import' ( STRING | 'type'? importwhat 'from' STRING | 'type'? id '=' ( 'require' '(' STRING ')' | id ( '.' id )* ) ) ( 'with' '{{' ( key ':' STRING ( ',' key ':' STRING )* ','? )? '}}' )? ';' ;
+alias = 'type' id tparams? '=' type semi ;
+import = 'import' ( STRING | 'type'? importwhat 'from' STRING | 'type'? id '=' ( 'require' '(' STRING ')' | id ( '.' id )* ) ) ( 'with' '{{' ( key ':' STRING ( ',' key ':' STRING )* ','? )? '}}' )? semi ;
 importwhat = id ( ',' ( '*' 'as' id | specs ) )? | '*' 'as' id | specs ;
 specs = '{{' ( spec ( ',' spec )* ','? )? '}}' ;
 spec = 'type'? ( word | STRING ) ( 'as' ( word | STRING ) )? ;
-export = 'export' ( decl | 'default' ( 'async'? function | decorator* 'abstract'? class | interface | assign ';' ) | 'type'? '*' ( 'as' ( word | STRING ) )? 'from' STRING ';' | 'type'? specs ( 'from' STRING )? ';' | '=' seq ';' | 'as' 'namespace' id ';' | import )
+export = 'export' ( decl | 'default' ( 'async'? function | decorator* 'abstract'? class | interface | assign semi ) | 'type'? '*' ( 'as' ( word | STRING ) )? 'from' STRING semi | 'type'? specs ( 'from' STRING )? semi | '=' seq semi | 'as' 'namespace' id semi | import )
   | decorator+ 'export' 'default'? 'abstract'? class ;
 seq = assign ( ',' assign )* ;
 assign = arrow | 'yield' '*'? assign | cond ( aop assign )? ;
@@ -153,7 +154,7 @@ atype = typeref | 'typeof' ( id | 'this' | 'import' '(' STRING ')' ) ( '.' ( wor
   | '[' ( titem ( ',' titem )* ','? )? ']' | objtype | 'import' '(' STRING ')' ( '.' id )* targs? | 'asserts' id ;
 titem = '...'? ( id '?'? ':' )? '...'? type '?'? ;
 typeref = id ( '.' word )* targs? ;
-objtype = '{{' ( tmember ( ( ';' | ',' ) tmember )* ( ';' | ',' )? )? '}}' ;
+objtype = '{{' ( tmember ( ( semi | ',' ) tmember )* ( semi | ',' )? )? '}}' ;
 tmember = ( 'readonly' | 'get' | 'set' )* key '?'? ( ':' type )? | ( 'get' | 'set' )? key '?'? tparams? '(' params? ')' ( ':' rettype )? | 'new'? tparams? '(' params? ')' ( ':' rettype )? | 'readonly'? '[' id ':' type ']' ':' type
   | ( ( '+' | '-' )? 'readonly' )? '[' id 'in' type ( 'as' type )? ']' ( ( '+' | '-' )? '?' )? ( ':' type )? ;
 """

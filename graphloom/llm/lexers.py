@@ -65,7 +65,10 @@ def _py_format(text: str, at: int, quote: str, raw: bool) -> int:
         if c in "\r\n" and not long_:
             raise Broken(at)
         if c == "\\":
-            at += 2 if raw or not text.startswith("\\N{", at) else max(2, text.find("}", at) + 1 - at)
+            if not raw and text.startswith("\\N{", at):
+                at = max(at + 2, text.find("}", at) + 1)
+            else:
+                at += 1 if text[at + 1 : at + 2] in ("{", "}") else 2
         elif c == "{" and text.startswith("{{", at):
             at += 2
         elif c == "{":
