@@ -37,7 +37,7 @@ from graphloom.session import broadcast_if_small, cut
 K = 5
 DIM = 64
 SHARD_ROWS = 1 << 15
-QUERY_ROWS = 1 << 13
+QUERY_ROWS = 1 << 14
 LEAF_ROWS = 256
 #: Candidates kept beyond k until they are scored in double precision.
 SPARE = 8
