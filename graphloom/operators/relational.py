@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom import schema
+from graphloom.session import cut
 
 
 # ---- lookups and filters
@@ -167,14 +168,19 @@ def merge_provenance(old: Column, new: Column) -> Column:
     return F.array_sort(kept, lambda a, b: F.when(a["timestamp"] < b["timestamp"], -1).when(a["timestamp"] > b["timestamp"], 1).otherwise(0))
 
 
-def nearest_rank(values: DataFrame, column: str, share: float) -> DataFrame:
-    """One row: the value at position floor(n x share) in order, by a global rank without collecting."""
-    v = values.where(F.col(column).isNotNull()).select(F.col(column).alias("value"))
-    n = v.count()
-    at = min(n - 1, int(n * share)) if n else 0
-    counts = v.groupBy("value").agg(F.count(F.lit(1)).alias("c"))
-    w = Window.orderBy("value")
-    return counts.withColumn("upto", F.sum("c").over(w)).where(F.col("upto") > at).orderBy("value").limit(1).select("value")
+def nearest_rank(values: DataFrame, column: str, share: float, partitions: int = 64) -> DataFrame:
+    """One row: the value at position floor(n x share) in order. Ranges are counted first; only the one that holds it is ranked."""
+    v = values.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("c"))
+    ranged = cut(v.repartitionByRange(partitions, "value").withColumn("part", F.spark_partition_id()))
+    sums = sorted((r["part"], r["n"]) for r in ranged.groupBy("part").agg(F.sum("c").alias("n")).collect())  # one row a range
+    total = sum(n for _, n in sums)
+    left, part = min(total - 1, int(total * share)), -1
+    for part, n in sums:
+        if left < n:
+            break
+        left -= n
+    upto = F.sum("c").over(Window.partitionBy("part").orderBy("value"))
+    return ranged.where(F.col("part") == part).withColumn("upto", upto).where(F.col("upto") > left).orderBy("value").limit(1).select("value")
 
 
 def line_ranges(entities: DataFrame, margin: int = 3) -> DataFrame:

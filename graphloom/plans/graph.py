@@ -15,7 +15,7 @@ from graphloom.operators import relational as R
 from graphloom.operators.graphview import Graph
 from graphloom.plans.relational import _E, _FILEDEPS, _TEXT, HUB, NOW, PROVIDER
 from graphloom.session import shared_path
-from graphloom.sources import sinks, tree
+from graphloom.sources import extract, sinks, tree
 from graphloom.streaming import watch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -345,6 +345,31 @@ def s09(g: Graph) -> DataFrame:
     return s.select("path", validate.text_class(F.col("content").cast("binary")).alias("text_class"))
 
 
+@query("s12_extract")
+def s12(g: Graph) -> DataFrame:
+    """record, kind, source, n: what the four extractors find in all source files."""
+    return extract.extract(g.raw("source_files")).groupBy("record", "kind", "source").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("j11_canonical_imports")
+def j11(g: Graph) -> DataFrame:
+    """path, to_uid of the extracted imports, resolved to files that exist where they can be."""
+    s = g.raw("source_files")
+    found = extract.extract(s).where("record = 'relation' AND kind = 'imports'")
+    return extract.canonical_relations(found, s.select(V.normalize_path(F.col("path")).alias("path"))).select("path", "to_uid")
+
+
+@query("j12_calls_in_files")
+def j12(g: Graph) -> DataFrame:
+    """from_uid, to_uid of calls bound to a function of the same file."""
+    return extract.extract(g.raw("source_files")).where("record = 'relation' AND kind = 'calls'").select("from_uid", "to_uid")
+
+
+@query("h16_markers", sql=f"SELECT DISTINCT path, i AS line, regexp_extract(l, '@dsp\\s+((?:obj|func)-[0-9a-f]{{8}})\\b', 1) AS marker FROM (SELECT path, unnest(string_split_regex(content, '\\r\\n|\\n|\\r')) AS l, generate_subscripts(string_split_regex(content, '\\r\\n|\\n|\\r'), 1)::INTEGER AS i FROM source_files WHERE content IS NOT NULL) WHERE regexp_matches(l, '@dsp\\s+(?:obj|func)-[0-9a-f]{{8}}\\b')")
+def h16(g: Graph) -> DataFrame:
+    return extract.markers(g.raw("source_files").where(F.col("content").isNotNull())).distinct()
+
+
 @query("k03_review_lines", V.ENT, V.REL, sql="SELECT 2 AS section, from_uid || ' --' || kind || '--> ' || to_uid AS line FROM rel UNION ALL SELECT 1, uid || ' [' || kind || '] | name=' || coalesce(name, '') || ' | path=' || coalesce(path, '') FROM ent")
 def k03(g: Graph) -> DataFrame:
     """Without the confidence, whose two decimals engines round differently."""

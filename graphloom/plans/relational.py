@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom import schema
@@ -153,12 +153,11 @@ def p05(g: Graph) -> DataFrame:
     return g.unresolved.where(F.col("symbol").isNotNull()).select("symbol", R.by_uid_or_path(F.col("symbol")).alias("uid"))
 
 
-@query("p06_ordered_lookup", V.ENT, V.REL, sql="SELECT pos, e.uid, e.kind, e.name FROM (SELECT row_number() OVER (ORDER BY from_uid, to_uid, kind) - 1 AS pos, to_uid FROM (SELECT * FROM rel WHERE kind = 'routes_to' ORDER BY from_uid, to_uid, kind LIMIT 300)) w JOIN ent e ON e.uid = w.to_uid")
+@query("p06_ordered_lookup", V.ENT, V.REL, sql="SELECT r.id AS pos, e.uid, e.kind, e.name FROM rel r JOIN ent e ON e.uid = r.to_uid WHERE r.kind IN ('routes_to', 'tests')")
 def p06(g: Graph) -> DataFrame:
-    """300 requested uids with repetitions, in their order."""
-    top = g.relations.where("kind = 'routes_to'").orderBy("from_uid", "to_uid", "kind").limit(300)
-    wanted = top.select((F.row_number().over(Window.orderBy("from_uid", "to_uid", "kind")) - 1).cast("long").alias("pos"), F.col("to_uid").alias("uid"))
-    return R.lookup_ordered(g.entities, wanted).select("pos", "uid", "kind", "name")
+    """Uids asked for in the order of relation ids, with repetitions."""
+    wanted = g.relations.where("kind IN ('routes_to', 'tests')").select(F.col("id").alias("pos"), F.col("to_uid").alias("uid"))
+    return R.lookup_ordered(g.entities, wanted).select("pos", "uid", "kind", "name").orderBy("pos")
 
 
 @query("p07_machine_rows", V.ENT, sql="SELECT uid, kind, name, path FROM ent WHERE source_priority < 100 AND path IS NOT NULL")
