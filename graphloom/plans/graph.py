@@ -365,7 +365,7 @@ def j12(g: Graph) -> DataFrame:
     return extract.extract(g.raw("source_files")).where("record = 'relation' AND kind = 'calls'").select("from_uid", "to_uid")
 
 
-@query("h16_markers", sql=f"SELECT DISTINCT path, i AS line, regexp_extract(l, '@dsp\\s+((?:obj|func)-[0-9a-f]{{8}})\\b', 1) AS marker FROM (SELECT path, unnest(string_split_regex(content, '\\r\\n|\\n|\\r')) AS l, generate_subscripts(string_split_regex(content, '\\r\\n|\\n|\\r'), 1)::INTEGER AS i FROM source_files WHERE content IS NOT NULL) WHERE regexp_matches(l, '@dsp\\s+(?:obj|func)-[0-9a-f]{{8}}\\b')")
+@query("h16_markers", sql=f"SELECT DISTINCT path, i AS line, regexp_extract(l, '@uid\\s+((?:obj|func)-[0-9a-f]{{8}})\\b', 1) AS marker FROM (SELECT path, unnest(string_split_regex(content, '\\r\\n|\\n|\\r')) AS l, generate_subscripts(string_split_regex(content, '\\r\\n|\\n|\\r'), 1)::INTEGER AS i FROM source_files WHERE content IS NOT NULL) WHERE regexp_matches(l, '@uid\\s+(?:obj|func)-[0-9a-f]{{8}}\\b')")
 def h16(g: Graph) -> DataFrame:
     return extract.markers(g.raw("source_files").where(F.col("content").isNotNull())).distinct()
 

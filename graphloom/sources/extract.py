@@ -396,7 +396,7 @@ def canonical_relations(relations: DataFrame, files: DataFrame) -> DataFrame:
 # ---- markers
 
 
-def markers(files: DataFrame, tag: str = "@dsp") -> DataFrame:
+def markers(files: DataFrame, tag: str = "@uid") -> DataFrame:
     """path, line, marker: the stable ids that comments in files name, the first of each line."""
     lines = F.posexplode(F.split("content", "\r\n|\n|\r")).alias("at", "text")
     found = F.regexp_extract("text", tag + r"\s+((?:obj|func)-[0-9a-f]{8})\b", 1)

@@ -52,6 +52,6 @@ def marker_plan(entities: DataFrame, sources: DataFrame) -> DataFrame:
     comment = F.when(F.col("path").rlike(r"\.(py|rb)$"), "#").otherwise("//")
     return (
         sym.join(text, "path")
-        .where(~above.contains("@dsp "))
-        .select("path", F.col("start_line").alias("line"), F.concat(comment, F.lit(" @dsp "), short_id(F.col("kind"), F.col("uid"))).alias("marker"))
+        .where(~above.contains("@uid "))
+        .select("path", F.col("start_line").alias("line"), F.concat(comment, F.lit(" @uid "), short_id(F.col("kind"), F.col("uid"))).alias("marker"))
     )

@@ -50,7 +50,7 @@ def test_ruby():
 @pytest.fixture(scope="module")
 def project(spark, tmp_path_factory):
     root = tmp_path_factory.mktemp("project")
-    for p, body in {"src/a.ts": "import { f } from './b';\nexport function g() { f(); }\n", "src/b/index.ts": "// @dsp func-1234abcd\nexport function f() {}\n", "app/c.py": "from .d import x\ndef y(): x()\n", "app/d.py": "def x(): pass\n"}.items():
+    for p, body in {"src/a.ts": "import { f } from './b';\nexport function g() { f(); }\n", "src/b/index.ts": "// @uid func-1234abcd\nexport function f() {}\n", "app/c.py": "from .d import x\ndef y(): x()\n", "app/d.py": "def x(): pass\n"}.items():
         (root / p).parent.mkdir(parents=True, exist_ok=True)
         (root / p).write_text(body)
     return str(root)
