@@ -148,76 +148,76 @@ def g04(g: Graph) -> DataFrame:
     return g.relations.select("from_uid", "to_uid", "kind", F.round(p, 6).alias("priority"))
 
 
-@query("p05_uid_or_path", V.UNRES, sql="SELECT symbol, CASE WHEN contains(symbol, ':') OR regexp_matches(symbol, '^(obj|func)-[0-9a-f]{8}$') THEN symbol ELSE 'file:' || symbol END AS uid FROM unres WHERE symbol IS NOT NULL")
+@query("id_p05_uid_or_path", V.UNRES, sql="SELECT symbol, CASE WHEN contains(symbol, ':') OR regexp_matches(symbol, '^(obj|func)-[0-9a-f]{8}$') THEN symbol ELSE 'file:' || symbol END AS uid FROM unres WHERE symbol IS NOT NULL")
 def p05(g: Graph) -> DataFrame:
     return g.unresolved.where(F.col("symbol").isNotNull()).select("symbol", R.by_uid_or_path(F.col("symbol")).alias("uid"))
 
 
-@query("p06_ordered_lookup", V.ENT, V.REL, sql="SELECT r.id AS pos, e.uid, e.kind, e.name FROM rel r JOIN ent e ON e.uid = r.to_uid WHERE r.kind IN ('routes_to', 'tests')")
+@query("id_p06_ordered_lookup", V.ENT, V.REL, sql="SELECT r.id AS pos, e.uid, e.kind, e.name FROM rel r JOIN ent e ON e.uid = r.to_uid WHERE r.kind IN ('routes_to', 'tests')")
 def p06(g: Graph) -> DataFrame:
     """Uids asked for in the order of relation ids, with repetitions."""
     wanted = g.relations.where("kind IN ('routes_to', 'tests')").select(F.col("id").alias("pos"), F.col("to_uid").alias("uid"))
     return R.lookup_ordered(g.entities, wanted).select("pos", "uid", "kind", "name").orderBy("pos")
 
 
-@query("p07_machine_rows", V.ENT, sql="SELECT uid, kind, name, path FROM ent WHERE source_priority < 100 AND path IS NOT NULL")
+@query("id_p07_machine_rows", V.ENT, sql="SELECT uid, kind, name, path FROM ent WHERE source_priority < 100 AND path IS NOT NULL")
 def p07(g: Graph) -> DataFrame:
     return g.entities.where((F.col("source_priority") < 100) & F.col("path").isNotNull()).select(*_E)
 
 
-@query("p08_suffix_lookup", V.ENT, sql="SELECT uid, kind, name, path FROM ent WHERE path = 'widget' OR ends_with(lower(path), '/probe_ticket.py') OR path = 'probe_ticket.py'")
+@query("id_p08_suffix_lookup", V.ENT, sql="SELECT uid, kind, name, path FROM ent WHERE path = 'widget' OR ends_with(lower(path), '/probe_ticket.py') OR path = 'probe_ticket.py'")
 def p08(g: Graph) -> DataFrame:
     return R.path_suffix(g.entities, "probe_ticket.py").select(*_E)
 
 
-@query("p10_incoming", V.ENT, V.REL, V.CONTAINS, sql=f"SELECT from_uid, to_uid, kind, derived FROM allrel WHERE to_uid = '{HUB}'")
+@query("id_p10_incoming", V.ENT, V.REL, V.CONTAINS, sql=f"SELECT from_uid, to_uid, kind, derived FROM allrel WHERE to_uid = '{HUB}'")
 def p10(g: Graph) -> DataFrame:
     return g.all_relations.where(F.col("to_uid") == HUB).select("from_uid", "to_uid", "kind", "derived")
 
 
-@query("p11_touching", V.ENT, V.REL, sql="SELECT from_uid, to_uid, kind FROM rel WHERE from_uid IN (SELECT uid FROM ent WHERE kind = 'route') OR to_uid IN (SELECT uid FROM ent WHERE kind = 'route')")
+@query("id_p11_touching", V.ENT, V.REL, sql="SELECT from_uid, to_uid, kind FROM rel WHERE from_uid IN (SELECT uid FROM ent WHERE kind = 'route') OR to_uid IN (SELECT uid FROM ent WHERE kind = 'route')")
 def p11(g: Graph) -> DataFrame:
     return R.touching(g.relations, g.entities.where("kind = 'route'").select("uid")).select("from_uid", "to_uid", "kind")
 
 
-@query("p12_touching_endpoints", V.ENT, V.REL, sql="SELECT uid, kind, name, path FROM ent WHERE uid IN (SELECT unnest([from_uid, to_uid]) FROM rel WHERE from_uid IN (SELECT uid FROM ent WHERE kind = 'route') OR to_uid IN (SELECT uid FROM ent WHERE kind = 'route'))")
+@query("id_p12_touching_endpoints", V.ENT, V.REL, sql="SELECT uid, kind, name, path FROM ent WHERE uid IN (SELECT unnest([from_uid, to_uid]) FROM rel WHERE from_uid IN (SELECT uid FROM ent WHERE kind = 'route') OR to_uid IN (SELECT uid FROM ent WHERE kind = 'route'))")
 def p12(g: Graph) -> DataFrame:
     return R.endpoints_of(R.touching(g.relations, g.entities.where("kind = 'route'").select("uid")), g.entities).select(*_E)
 
 
-@query("p13_low_confidence", V.REL, sql="SELECT from_uid, to_uid, kind, confidence FROM rel WHERE kind IN ('imports', 'depends_on', 'calls') AND confidence < 0.55")
+@query("id_p13_low_confidence", V.REL, sql="SELECT from_uid, to_uid, kind, confidence FROM rel WHERE kind IN ('imports', 'depends_on', 'calls') AND confidence < 0.55")
 def p13(g: Graph) -> DataFrame:
     """With the threshold at 0.55, since the data holds no critical edge below the default."""
     return R.low_confidence(g.relations, 0.55).select("from_uid", "to_uid", "kind", "confidence")
 
 
-@query("p15_abandoned_runs", sql=f"SELECT run_id, mode, started_at FROM index_runs WHERE status = 'running' AND started_at < TIMESTAMP '{NOW}' - INTERVAL 1 HOUR")
+@query("id_p15_abandoned_runs", sql=f"SELECT run_id, mode, started_at FROM index_runs WHERE status = 'running' AND started_at < TIMESTAMP '{NOW}' - INTERVAL 1 HOUR")
 def p15(g: Graph) -> DataFrame:
     return R.abandoned_runs(g.raw("index_runs"), F.lit(NOW).cast("timestamp_ntz")).select("run_id", "mode", "started_at")
 
 
-@query("p16_corrupt_json", V.ENT, sql="SELECT uid FROM ent WHERE metadata IS NOT NULL AND NOT json_valid(metadata)")
+@query("id_p16_corrupt_json", V.ENT, sql="SELECT uid FROM ent WHERE metadata IS NOT NULL AND NOT json_valid(metadata)")
 def p16(g: Graph) -> DataFrame:
     return g.entities.where(F.col("metadata").isNotNull() & F.try_parse_json("metadata").isNull()).select("uid")
 
 
-@query("p18_unchanged_files", V.FILES, sql=f"SELECT s.path FROM (SELECT DISTINCT {V.sql_norm_path('path')} AS path, size_bytes FROM source_files) s JOIN files f ON f.path = s.path WHERE f.r.size_bytes = s.size_bytes AND f.r.mtime_ms IS NOT NULL")
+@query("id_p18_unchanged_files", V.FILES, sql=f"SELECT s.path FROM (SELECT DISTINCT {V.sql_norm_path('path')} AS path, size_bytes FROM source_files) s JOIN files f ON f.path = s.path WHERE f.r.size_bytes = s.size_bytes AND f.r.mtime_ms IS NOT NULL")
 def p18(g: Graph) -> DataFrame:
     s = g.raw("source_files").select(V.normalize_path(F.col("path")).alias("path"), F.col("size_bytes").alias("now_bytes")).distinct()
     return s.join(g.files, "path").where((F.col("size_bytes") == F.col("now_bytes")) & F.col("mtime_ms").isNotNull()).select("path")
 
 
-@query("p19_test_paths", V.FILES, sql=r"SELECT path FROM files WHERE regexp_matches(path, '/tests?/|\.(test|spec)\.[jt]sx?$|_test\.(py|rs|rb|go)$|_spec\.rb$|(^|/)test_[^/]*\.py$')")
+@query("id_p19_test_paths", V.FILES, sql=r"SELECT path FROM files WHERE regexp_matches(path, '/tests?/|\.(test|spec)\.[jt]sx?$|_test\.(py|rs|rb|go)$|_spec\.rb$|(^|/)test_[^/]*\.py$')")
 def p19(g: Graph) -> DataFrame:
     return g.files.where(R.is_test_path(F.col("path"))).select("path")
 
 
-@query("p20_high_signal", V.ENT, V.REL, sql=f"SELECT from_uid, to_uid, kind FROM rel WHERE kind IN ({schema.sql_list(schema.HIGH_SIGNAL_KINDS)}) AND NOT coalesce(is_synthetic, false) AND from_uid NOT IN (SELECT uid FROM ent WHERE kind IN ('file', 'directory')) AND to_uid NOT IN (SELECT uid FROM ent WHERE kind IN ('file', 'directory'))")
+@query("id_p20_high_signal", V.ENT, V.REL, sql=f"SELECT from_uid, to_uid, kind FROM rel WHERE kind IN ({schema.sql_list(schema.HIGH_SIGNAL_KINDS)}) AND NOT coalesce(is_synthetic, false) AND from_uid NOT IN (SELECT uid FROM ent WHERE kind IN ('file', 'directory')) AND to_uid NOT IN (SELECT uid FROM ent WHERE kind IN ('file', 'directory'))")
 def p20(g: Graph) -> DataFrame:
     return R.high_signal(g.relations, g.entities).select("from_uid", "to_uid", "kind")
 
 
-@query("p21_markable", V.ENT, sql="SELECT uid, kind, name, path FROM ent WHERE path IS NOT NULL AND start_line IS NOT NULL AND kind NOT IN ('repository', 'directory', 'file', 'module')")
+@query("id_p21_markable", V.ENT, sql="SELECT uid, kind, name, path FROM ent WHERE path IS NOT NULL AND start_line IS NOT NULL AND kind NOT IN ('repository', 'directory', 'file', 'module')")
 def p21(g: Graph) -> DataFrame:
     return g.entities.where(F.col("path").isNotNull() & F.col("start_line").isNotNull() & ~F.col("kind").isin("repository", "directory", "file", "module")).select(*_E)
 

@@ -9,10 +9,10 @@ sys.path.insert(0, os.path.join(os.path.dirname(__file__), "..", "tools"))
 
 import compare
 
-from graphloom.plans import graph, problems, relational
+from graphloom.plans import graph, more, problems, relational
 
 DATA = "/root/testdata/sf0.001"
-NAMES = [n for m in (problems, relational, graph) for n in m.QUERIES]
+NAMES = [n for m in (problems, relational, graph, more) for n in m.QUERIES]
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables here")
