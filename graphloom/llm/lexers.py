@@ -459,6 +459,8 @@ _RB = re.compile(
     re.VERBOSE,
 )
 _RB_VALUE = frozenset(("NAME", "CONST", "NUMBER", "STRING", "SYMBOL", "VAR", "REGEX", "CHAR", ")", "]", "}", "end", "nil", "true", "false", "self", "super", "yield", "redo", "retry", "__FILE__", "__LINE__", "__ENCODING__", "FNAME", "break", "next", "return"))
+#: A line that goes on with a method call, after blank and comment lines.
+_RB_CHAIN = re.compile(r"(?:[ \t\f\v]*(?:#[^\r\n]*)?(?:\r\n|\n|\r))*[ \t\f\v]*(?:\.(?!\.)|&\.)")
 _PAIR = {"(": ")", "[": "]", "{": "}", "<": ">"}
 _RB_NAMES = frozenset(("NAME", "FNAME"))
 
@@ -535,8 +537,7 @@ def _ruby(text: str, at: int, inner: bool) -> tuple[list[str], list[int], int]:
                 at = n.end() if n else at
             here.clear()
             space = line_start = True
-            ahead = re.compile(r"(?:[ \t\f\v]*(?:#[^\r\n]*)?(?:\r\n|\n|\r))*[ \t\f\v]*(?:\.(?!\.)|&\.)").match(text, at)
-            if kinds and last != "NL" and not ahead:
+            if kinds and last != "NL" and not _RB_CHAIN.match(text, at):
                 put("NL", m.start())
             continue
         was_space, space = space, False

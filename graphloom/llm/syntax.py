@@ -11,7 +11,7 @@ often is parsed once; parsing is one pass in its task, and the memo is bounded.
 Cases. The language is that of the path's extension (.py, .ts, .rs, .rb); other paths are left
 out, as are null paths. Null contents count as empty, and empty files are valid. A leading byte
 order mark is skipped. Rows of one path with different contents give the path once if any of
-them fails. An empty table gives no rows.
+them fails. A text nested too deep for the worker's stack counts as failing at its start. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -49,10 +49,15 @@ def failure(language: str, text: str) -> tuple[str, int] | None:
             kinds, at, soft = lexers.typescript(text)
         else:
             kinds, at = getattr(lexers, language)(text)
+    except RecursionError:
+        found = ("token", 0)
     except lexers.Broken as e:
         found = ("truncated" if e.open else "token", e.at)
     else:
-        where = grammar(language).parse(kinds, soft)
+        try:
+            where = grammar(language).parse(kinds, soft)
+        except RecursionError:
+            where = 0
         if where is None:
             return None
         found = ("truncated", len(text)) if where == len(kinds) else ("token", at[where])
