@@ -16,7 +16,8 @@ over to a single task only below a fixed row bound, and above it go on distribut
 Cases. Null endpoints and rows of another kind are left out; repeated links count once; keys
 compare after normalization. A node on a cycle (a link to itself included) is reported as
 on_cycle and starts a tree of its own, so nothing is followed round. A node with several
-parents outside cycles hangs below the smallest parent uid, and n_parents tells the rest.
+parents outside cycles hangs below the smallest parent uid in the forest; n_parents tells the
+rest, and pairs_over_further_parents and descendants follow the other links too, exactly.
 An empty table gives no rows.
 """
 
@@ -325,3 +326,47 @@ def hierarchy(relations: DataFrame, kind: str = "contains", local_arcs: int = LO
     out = swept.withColumn("root_uid", F.get("path", F.lit(0))).join(flags, "id").join(broadcast_if_small(cut(root_on)), "root_uid", "left")
     status = F.when(F.col("on_cycle"), "on_cycle").when(F.col("root_on"), "below_cycle").otherwise("tree")
     return out.select("uid", "root_uid", "depth", "path", ((F.col("exit") - F.col("entry") - 1) / 2).cast("long").alias("n_descendants"), "entry", "exit", "n_parents", status.alias("status"))
+
+
+def pairs_over_further_parents(h: DataFrame, link: DataFrame) -> DataFrame:
+    """uid, descendant, distance, in_tree: pairs joined by a way over some link that the forest leaves out.
+
+    distance is the least of such ways; in_tree tells that the forest has the pair as well. h is the
+    result of hierarchy, cut; link the distinct links it was made from. Every row of a round is a pair
+    of the result's kind, so no round holds more than the closure itself.
+    """
+    child = h.where("n_parents > 1 AND status <> 'on_cycle'").select(F.col("uid").alias("child"), F.get("path", F.col("depth") - 1).alias("first"))
+    extra = cut(link.join(broadcast_if_small(child), "child").where("parent <> first").select("parent", "child"))
+    holders = cut(extra.select(F.col("parent").alias("uid")).distinct())
+    up = h.join(broadcast_if_small(holders), "uid", "left_semi").select(F.col("uid").alias("parent"), "depth", F.posexplode("path").alias("at", "uid"))
+    # A hop goes down the forest, no link or more, and then over one further link.
+    hop = cut(up.join(extra, "parent").groupBy("uid", "child").agg(F.min(F.col("depth") - F.col("at") + 1).alias("distance")))
+    reach = fresh = hop
+    on = hop.select(F.col("uid").alias("child"), F.col("child").alias("next"), F.col("distance").alias("more"))
+    while not fresh.isEmpty():
+        step = fresh.join(on, "child").groupBy("uid", F.col("next").alias("child")).agg(F.min(F.col("distance") + F.col("more")).alias("distance"))
+        known = reach.withColumnRenamed("distance", "known")
+        fresh = cut(step.join(known, ["uid", "child"], "left").where("known IS NULL OR distance < known").select("uid", "child", "distance"))
+        reach = cut(reach.unionByName(fresh).groupBy("uid", "child").agg(F.min("distance").alias("distance")))
+    ends = broadcast_if_small(cut(reach.select("child").distinct()))
+    below = h.select(F.col("uid").alias("descendant"), "path", "depth", F.posexplode("path").alias("at", "child")).join(ends, "child", "left_semi")
+    pairs = reach.join(below, "child").select("uid", "descendant", (F.col("distance") + F.col("depth") - F.col("at")).alias("distance"), F.array_contains("path", F.col("uid")).alias("in_tree"))
+    return pairs.groupBy("uid", "descendant").agg(F.min("distance").alias("distance"), F.max("in_tree").alias("in_tree"))
+
+
+def descendants(relations: DataFrame, kind: str = "contains", local_arcs: int = LOCAL_ARCS, sweep_rows: int = SWEEP_ROWS) -> DataFrame:
+    """uid, descendant, distance (the fewest links): every pair of a node and a node below it, over all parents."""
+    h = cut(hierarchy(relations, kind, local_arcs, sweep_rows))
+    further = cut(pairs_over_further_parents(h, cut(links(relations, kind))))
+    shorter = further.where("in_tree").select("uid", "descendant", F.col("distance").alias("other"))
+    up = h.select(F.col("uid").alias("descendant"), "depth", F.posexplode("path").alias("at", "uid")).where(F.col("at") < F.col("depth"))
+    tree = up.join(broadcast_if_small(shorter), ["uid", "descendant"], "left").select("uid", "descendant", F.least(F.col("depth") - F.col("at"), "other").alias("distance"))
+    return tree.unionByName(further.where("NOT in_tree").select("uid", "descendant", "distance"))
+
+
+def full_hierarchy(relations: DataFrame, kind: str = "contains", local_arcs: int = LOCAL_ARCS, sweep_rows: int = SWEEP_ROWS) -> DataFrame:
+    """hierarchy, with n_descendants counted over all parents; root_uid, depth and path stay those of the smallest parent."""
+    h = cut(hierarchy(relations, kind, local_arcs, sweep_rows))
+    further = pairs_over_further_parents(h, cut(links(relations, kind)))
+    more = cut(further.where("NOT in_tree").groupBy("uid").agg(F.count(F.lit(1)).alias("more")))
+    return h.join(broadcast_if_small(more), "uid", "left").withColumn("n_descendants", F.col("n_descendants") + F.coalesce("more", F.lit(0))).drop("more")

@@ -44,15 +44,13 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_hierarchy(spark: SparkSession, d: str) -> DataFrame:
-    h = hierarchy.hierarchy(table(spark, d, "relations"))
+    h = hierarchy.full_hierarchy(table(spark, d, "relations"))
     return h.select("uid", "root_uid", "depth", F.array_join("path", " > ").alias("path"), "n_descendants", "n_parents", "status")
 
 
 def p4_descendants(spark: SparkSession, d: str) -> DataFrame:
     """uid, descendant, distance: every pair of a node and a node below it."""
-    h = hierarchy.hierarchy(table(spark, d, "relations"))
-    up = h.select(F.col("uid").alias("descendant"), "depth", F.posexplode("path").alias("at", "uid"))
-    return up.where(F.col("at") < F.col("depth")).select("uid", "descendant", (F.col("depth") - F.col("at")).alias("distance"))
+    return hierarchy.descendants(table(spark, d, "relations"))
 
 
 QUERIES = {"p2_found": p2_found, "p2_report": p2_report, "p2_orders": p2_orders, "p3_found": p3_found, "p3_state": p3_state, "p4_found": p4_found, "p4_hierarchy": p4_hierarchy, "p4_descendants": p4_descendants}

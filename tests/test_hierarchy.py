@@ -98,3 +98,30 @@ def test_local_ranking():
     assert got.loc[[5, 1, 9, 4, 7], "rank"].tolist() == [2, 1, 0, 2, 0]
     assert got.loc[[5, 4], "last"].tolist() == [9, 7]
     assert list(H._rank_local(iter([]))) == [] and np.array_equal(got.index, [1, 4, 5, 7, 9])
+
+
+def below(pairs):
+    """(node, node below it) to the fewest links between them, no link into a cycle being followed."""
+    on, _ = brute(pairs)
+    out = {}
+    for a, b in pairs:
+        if b not in on:
+            out.setdefault(a, set()).add(b)
+    got = {}
+    for n in {x for p in pairs for x in p}:
+        front, steps = {n}, 0
+        while front:
+            steps += 1
+            front = {y for x in front for y in out.get(x, ()) if (n, y) not in got}
+            got |= {(n, y): steps for y in front}
+    return got
+
+
+@pytest.mark.parametrize("pairs", [random_pairs(2), [*random_pairs(3, 40), *((f"n:{i}", f"n:{j}") for i, j in ((1, 20), (20, 30), (5, 39), (30, 39), (2, 20), (0, 39)))], [("a:1", "a:2"), ("a:2", "a:3"), ("a:3", "a:4"), ("b:1", "a:4"), ("b:1", "b:2"), ("b:2", "a:2"), ("a:4", "c:1"), ("a:1", "c:1"), ("z:1", "z:2"), ("z:2", "z:1"), ("z:1", "c:1")]])
+def test_descendants_over_all_parents(spark, pairs):
+    r, want = contains(spark, pairs), below(pairs)
+    for arcs, rows in ((1 << 20, 1 << 16), (20, 16)):
+        got = [((x["uid"], x["descendant"]), x["distance"]) for x in H.descendants(r, local_arcs=arcs, sweep_rows=rows).collect()]
+        assert len(got) == len(want) and dict(got) == want
+    count = {x["uid"]: x["n_descendants"] for x in H.full_hierarchy(r).collect()}
+    assert count == {n: sum(a == n for a, _ in want) for n in {x for p in pairs for x in p}}
