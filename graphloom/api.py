@@ -62,10 +62,10 @@ class Workspace:
     def neighbors(self, text: str, **budget) -> dict:
         return traverse.neighborhood(self.graph.entities, self.graph.relations, self.resolve(text), traverse.Budget(**budget))
 
-    def impact(self, text: str, depth: int = 10) -> DataFrame:
+    def impact(self, text: str, depth: int | None = None) -> DataFrame:
         return traverse.impact(self.graph.relations, self.resolve(text), depth)
 
-    def impact_summary(self, text: str, depth: int = 10) -> DataFrame:
+    def impact_summary(self, text: str, depth: int | None = None) -> DataFrame:
         return traverse.impact_summary(self.graph.relations, self.graph.entities, self.resolve(text), depth)
 
     def path(self, start: str, goal: str, typed: bool = False) -> dict:
@@ -120,7 +120,7 @@ TOOLS = {
     "semantic_search": lambda w, a: w.search(a["query"], a.get("k", 20)),
     "get_entity": lambda w, a: w.entity(a["uid"]),
     "get_neighbors": lambda w, a: w.neighbors(a["uid"], depth=a.get("depth", 1)),
-    "impact": lambda w, a: w.impact_summary(a["uid"], a.get("depth", 10)),
+    "impact": lambda w, a: w.impact_summary(a["uid"], a.get("depth")),
     "validate": lambda w, a: w.issues(a.get("deep", False)),
     "explain_path": lambda w, a: w.path(a["from"], a["to"]),
     "list_changed": lambda w, a: w.changed(a["root"], a.get("base", "HEAD")),

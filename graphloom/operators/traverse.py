@@ -9,6 +9,7 @@ budgeted walk, whose budget bounds it.
 from __future__ import annotations
 
 import heapq
+import itertools
 import json
 import math
 import time
@@ -23,12 +24,12 @@ from graphloom.operators.relational import edge_priority
 from graphloom.session import cut
 
 
-def closure(edges: DataFrame, seeds: DataFrame, max_depth: int) -> DataFrame:
-    """uid, depth of what src -> dst reaches from the seeds (column uid), seeds at depth 0."""
+def closure(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """uid, depth of what src -> dst reaches from the seeds (column uid), seeds at depth 0; without a depth, all of it."""
     e = cut(edges.select("src", "dst").distinct())
     seen = cut(seeds.select("uid").distinct().withColumn("depth", F.lit(0)))
     front = seen
-    for depth in range(1, max_depth + 1):
+    for depth in itertools.count(1) if max_depth is None else range(1, max_depth + 1):
         step = front.select(F.col("uid").alias("src")).join(e, "src").select(F.col("dst").alias("uid")).distinct()
         front = cut(step.join(seen, "uid", "left_anti").withColumn("depth", F.lit(depth)))
         if front.isEmpty():
@@ -37,14 +38,14 @@ def closure(edges: DataFrame, seeds: DataFrame, max_depth: int) -> DataFrame:
     return seen
 
 
-def impact(relations: DataFrame, target: str, max_depth: int = 10, kinds: list[str] = schema.IMPACT_KINDS) -> DataFrame:
+def impact(relations: DataFrame, target: str, max_depth: int | None = None, kinds: list[str] = schema.IMPACT_KINDS) -> DataFrame:
     """uid, depth of everything that depends on the target, against the edges."""
     e = relations.where(F.col("kind").isin(kinds)).select(F.col("to_uid").alias("src"), F.col("from_uid").alias("dst"))
     seed = relations.sparkSession.createDataFrame([(target,)], "uid string")
     return closure(e, seed, max_depth).where("depth > 0")
 
 
-def impact_summary(relations: DataFrame, entities: DataFrame, target: str, max_depth: int = 10) -> DataFrame:
+def impact_summary(relations: DataFrame, entities: DataFrame, target: str, max_depth: int | None = None) -> DataFrame:
     """One row: direct, transitive, tests, public, files, confidence, risk.
 
     Risk counts four reasons: a public target or dependent, tests among the dependents being absent, many direct

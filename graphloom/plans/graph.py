@@ -114,7 +114,7 @@ _IMPACT = f"seen AS (SELECT uid, 0 AS depth FROM pick UNION SELECT r.from_uid, s
 
 @query("g07_impact", V.REL, _PICK, _IMPACT, sql="SELECT uid, min(depth)::INTEGER AS depth FROM seen GROUP BY uid HAVING min(depth) > 0", recursive=True)
 def g07(g: Graph) -> DataFrame:
-    return traverse.impact(g.relations, _pick(g), 6)
+    return traverse.impact(g.relations, _pick(g))
 
 
 @query(
@@ -126,7 +126,7 @@ def g07(g: Graph) -> DataFrame:
     recursive=True,
 )
 def g07s(g: Graph) -> DataFrame:
-    return traverse.impact_summary(g.relations, g.entities, _pick(g), 6).withColumn("confidence", F.round("confidence", 6))
+    return traverse.impact_summary(g.relations, g.entities, _pick(g)).withColumn("confidence", F.round("confidence", 6))
 
 
 @query("g10_descendants", V.ENT, V.REL, _ROOT, "seen AS (SELECT uid, 0 AS depth FROM root UNION SELECT r.to_uid, s.depth + 1 FROM seen s JOIN rel r ON r.from_uid = s.uid WHERE s.depth < 30 AND r.kind = 'contains')", sql="SELECT uid, min(depth)::INTEGER AS depth FROM seen GROUP BY uid", recursive=True)

@@ -1,5 +1,7 @@
 """Replays of small graphs: impact, walks, search, packs, joins, merges, validation."""
 
+from types import SimpleNamespace
+
 import pytest
 from helpers import ENTITIES, FILES, RELATIONS, SOURCES, UNRESOLVED, edge, entity, frame
 from pyspark.sql import functions as F
@@ -7,6 +9,7 @@ from pyspark.sql import functions as F
 from graphloom.operators import contextpack, merge, textsearch, traverse, validate, vector
 from graphloom.operators import relational as R
 from graphloom.operators.graphview import Graph, current_entities, merged_relations
+from graphloom.plans import graph
 
 CALC, INVOICE, ROUTE, TEST = "function:src/billing/calc.ts#calculate", "file:src/billing/invoice.ts", "route:src/api/invoices.ts#/invoices", "test:src/billing/calc.test.ts"
 
@@ -28,6 +31,15 @@ def test_impact(billing):
     assert (nothing["direct"], nothing["confidence"]) == (0, 0.4)
 
 
+def test_impact_has_no_depth_of_its_own(spark):
+    u = [f"file:{i:02}" for i in range(14)]
+    e, r = small(spark, u, [edge(b, a, "depends_on") for a, b in zip(u, u[1:], strict=False)])
+    want = {(x, i) for i, x in enumerate(u) if i}
+    assert {(x["uid"], x["depth"]) for x in traverse.impact(r, u[0]).collect()} == want
+    assert {(x["uid"], x["depth"]) for x in graph.g07(SimpleNamespace(relations=r)).collect()} == want
+    assert graph.g07s(SimpleNamespace(relations=r, entities=e)).first()["transitive"] == 12
+
+
 def small(spark, uids, edges):
     return current_entities(frame(spark, ENTITIES, [entity(u) for u in uids])), merged_relations(frame(spark, RELATIONS, edges))
 
