@@ -20,7 +20,10 @@ does; `relax` buys it back only where neighbors are much nearer than the average
 
 Cases. The row with the latest updated_at counts for each (uid, provider), ties going to the
 greater vector. Null, empty, zero, non-finite vectors and vectors of another length than `dim`
-are left out, as are null uids and providers. Equal similarity is settled by the smaller uid.
+are left out, as are null uids and providers. Equal similarity is settled by the smaller uid,
+however many share it: equal vectors of a shard are searched as one and expanded by uid, and a
+query whose list is full of cosines that float32 cannot tell from the k-th is done again over the
+whole shard in double precision.
 A provider with fewer than k + 1 vectors gives what there is. Empty tables give no rows.
 """
 
@@ -41,6 +44,11 @@ QUERY_ROWS = 1 << 14
 LEAF_ROWS = 256
 #: Candidates kept beyond k until they are scored in double precision.
 SPARE = 8
+#: More than float32 errs by in a cosine; more than that makes of a distance.
+ERROR = 5e-6
+SLACK = np.float32(1e-3)
+#: Cosines held at once when queries are done again.
+AGAIN_CELLS = 1 << 22
 
 
 def usable_vectors(vectors: DataFrame, dim: int = DIM) -> DataFrame:
@@ -113,7 +121,7 @@ class VpTree:
                 spent += self._leaf(queries, who[home[who] != node], a, b, best, rows)
                 continue
             far = away[who, number]
-            reach = relax * _distance(best[who].min(axis=1))
+            reach = relax * _distance(best[who].min(axis=1)) + SLACK
             inside, outside = far - reach <= self.radius[number], far + reach >= self.radius[number]
             own = far < self.radius[number]  # its own half is always searched
             work += [(child, part) for child, part in ((a, who[inside | own]), (b, who[outside | ~own])) if len(part)]
@@ -146,6 +154,44 @@ def _matrix(table: pa.Table, name: str, dim: int) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
+class _Targets:
+    """The vectors of a shard in order of uid, equal ones as one."""
+
+    def __init__(self, names: np.ndarray, data: np.ndarray, k: int):
+        order = np.argsort(names.astype(str), kind="stable")
+        self.names, self.k, data = names[order], k, data[order] + 0.0
+        _, first, group = np.unique(data.view(np.dtype((np.void, data.shape[1] * data.itemsize))).ravel(), return_index=True, return_inverse=True)
+        self.unit, self.members = data[first], np.argsort(group, kind="stable")
+        self.start = np.searchsorted(group[self.members], np.arange(len(first)))
+        self.many = np.minimum(np.bincount(group, minlength=len(first)), k + 1)  # of equal ones only the first k + 1 can count
+
+    def best(self, ask: np.ndarray, own: np.ndarray, who: np.ndarray, to: np.ndarray, least: float | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Query, row and cosine of the k best neighbors of each query among the distinct vectors given for it."""
+        sim = np.einsum("ij,ij->i", ask[who], self.unit[to])
+        if least is not None:
+            keep = sim >= least
+            who, to, sim = who[keep], to[keep], sim[keep]
+        many = self.many[to]
+        step = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        who, sim, row = np.repeat(who, many), np.repeat(sim, many), self.members[np.repeat(self.start[to], many) + step]
+        keep = own[who] != self.names[row]
+        who, row, sim = who[keep], row[keep], sim[keep]
+        order = np.lexsort((row, -sim, who))
+        who, row, sim = who[order], row[order], sim[order]
+        keep = np.arange(len(who)) - np.searchsorted(who, who) < self.k
+        return who[keep], row[keep], sim[keep]
+
+    def again(self, ask: np.ndarray, own: np.ndarray, which: np.ndarray, least: float | None) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """best for some queries, over all vectors."""
+        out, step, last = [], max(1, AGAIN_CELLS // len(self.unit)), max(0, len(self.unit) - self.k - 1)
+        for i in range(0, len(which), step):
+            some = which[i : i + step]
+            cos = ask[some] @ self.unit.T
+            who, to = np.nonzero(cos >= np.partition(cos, last, axis=1)[:, last, None] - 1e-12)
+            out.append(self.best(ask, own, some[who], to, least))
+        return out
+
+
 def _search_task(k: int, dim: int, relax: float, least: float | None):
     schema = pa.schema([("provider", pa.string()), ("uid", pa.string()), ("neighbor", pa.string()), ("similarity", pa.float64())])
 
@@ -153,23 +199,19 @@ def _search_task(k: int, dim: int, relax: float, least: float | None):
         if not shard.num_rows or not queries.num_rows:
             return schema.empty_table()
         data, ask = _matrix(shard, "vector", dim), _matrix(queries, "vector", dim)
-        names, own = shard["uid"].to_numpy(), queries["uid"].to_numpy()
-        rows, _, _ = VpTree(data.astype(np.float32)).search(ask.astype(np.float32), k + 1 + SPARE, relax, least)
+        own, targets = queries["uid"].to_numpy(), _Targets(shard["uid"].to_numpy(), data, k)
+        rows, cos, _ = VpTree(targets.unit.astype(np.float32)).search(ask.astype(np.float32), k + 1 + SPARE, relax, least)
         who, col = np.nonzero(rows >= 0)
-        to = rows[who, col]
-        keep = own[who] != names[to]
-        who, to = who[keep], to[keep]
-        sim = np.einsum("ij,ij->i", ask[who], data[to])
-        if least is not None:
-            keep = sim >= least
-            who, to, sim = who[keep], to[keep], sim[keep]
-        order = np.lexsort((names[to].astype(str), -sim, who))
-        who, to, sim = who[order], to[order], sim[order]
-        first = np.searchsorted(who, who)
-        keep = np.arange(len(who)) - first < k
-        who, to, sim = who[keep], to[keep], sim[keep]
+        who, to, sim = targets.best(ask, own, who, rows[who, col], least)
+        worst = np.full(len(own), np.inf)  # of k neighbors; fewer in a full list were under the least
+        np.minimum.at(worst, who, sim)
+        worst[np.bincount(who, minlength=len(own)) < k] = -np.inf if least is None else least
+        unsure = (rows >= 0).all(axis=1) & (cos.min(axis=1) >= worst - ERROR)
+        keep = ~unsure[who]
+        parts = [(who[keep], to[keep], sim[keep]), *targets.again(ask, own, np.flatnonzero(unsure), least)]
+        who, to, sim = (np.concatenate(x) for x in zip(*parts, strict=True))
         provider = queries["provider"].to_numpy()[who]
-        return pa.table([pa.array(provider, pa.string()), pa.array(own[who], pa.string()), pa.array(names[to], pa.string()), pa.array(sim, pa.float64())], schema=schema)
+        return pa.table([pa.array(provider, pa.string()), pa.array(own[who], pa.string()), pa.array(targets.names[to], pa.string()), pa.array(sim, pa.float64())], schema=schema)
 
     return run
 

@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from helpers import VECTORS, day, frame
 from pyspark.sql import functions as F
@@ -80,3 +81,20 @@ def test_many_equal_vectors_keep_k(spark):
     df = frame(spark, VECTORS, table(spark, np.ones((40, 64))))
     got = knn.most_similar(df, shard_rows=15, query_rows=15).groupBy("uid").agg(F.count(F.lit(1)).alias("n"), F.min("similarity").alias("s")).collect()
     assert {r["n"] for r in got} == {5} and min(r["s"] for r in got) == pytest.approx(1)
+
+
+@pytest.mark.parametrize("least", [None, 0.4])
+def test_ties_go_to_the_smaller_uids(least):
+    axes = np.eye(64)
+    x = np.concatenate([np.ones((300, 64)), axes[:1], axes[:1] + axes[1:41]])  # equal ones, then different ones of equal cosine
+    x = x[np.random.default_rng(4).permutation(len(x))]
+    equal, mixed = (np.flatnonzero(m) for m in (x.all(axis=1), (x != 0).sum(axis=1) == 2))
+    one = int(np.flatnonzero((x != 0).sum(axis=1) == 1)[0])
+    at = np.random.default_rng(5).permutation(len(x))  # rows come in any order
+    rows = pa.table({"provider": ["p"] * len(x), "uid": [f"e:{i:05}" for i in at], "vector": [x[i].astype(np.float32) for i in at]})
+    got = {}
+    for r in knn._search_task(5, 64, 1.0, least)(rows, rows).to_pylist():
+        got.setdefault(int(r["uid"][2:]), []).append(int(r["neighbor"][2:]))
+    assert all(got[i] == [j for j in equal if j != i][:5] for i in equal)
+    assert got[one] == mixed[:5].tolist()
+    assert all(got[i] == [one, *[j for j in mixed if j != i][:4]] for i in mixed)
