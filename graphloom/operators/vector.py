@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom import schema
+from graphloom.session import cut
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -57,10 +58,26 @@ def top_k(vectors: DataFrame, query: Column, k: int) -> DataFrame:
 def ann_candidates(vectors: DataFrame, queries: DataFrame, dim: int) -> DataFrame:
     """query, uid: vectors that share a bucket with a query's key or a one-bit neighbor of it."""
     buckets = vectors.select("uid", F.explode(bucket_keys(F.col("vector"), dim)).alias("key"))
-    asks = queries.select(F.col("uid").alias("query"), F.explode(F.flatten(F.transform(bucket_keys(F.col("vector"), dim), probe_keys))).alias("key"))
+    # A function of two parameters would get the position as the second: bits must not be one here.
+    asks = queries.select(F.col("uid").alias("query"), F.explode(F.flatten(F.transform(bucket_keys(F.col("vector"), dim), lambda key: probe_keys(key)))).alias("key"))
     return asks.join(buckets, "key").select("query", "uid").distinct()
 
 
+def ann_top_k(vectors: DataFrame, queries: DataFrame, dim: int, k: int) -> DataFrame:
+    """query, uid, similarity, rank: the k best bucket candidates of each query, but for itself and those of no positive similarity.
+
+    A query with fewer than min(k, 10) candidates is ranked over all vectors instead.
+    """
+    asks = queries.select(F.col("uid").alias("query"), F.col("vector").alias("q"))
+    cand = cut(ann_candidates(vectors, queries, dim).where("query <> uid"))
+    enough = cand.groupBy("query").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min(k, 10)).select("query")
+    near = cand.join(enough, "query", "left_semi").join(asks, "query").join(vectors.select("uid", "vector"), "uid")
+    far = asks.join(enough, "query", "left_anti").crossJoin(vectors.select("uid", "vector")).where("query <> uid")
+    cols = ["query", "uid", cosine(F.col("q"), F.col("vector")).alias("similarity")]
+    scored = near.select(*cols).unionByName(far.select(*cols)).where("similarity > 0")
+    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("similarity"), "uid"))).where(F.col("rank") <= k)
+
+
 def mock_vector(text: Column) -> Column:
     """Sixteen numbers in [-1, 1] from the SHA-256 of a text."""
     h = F.sha2(text, 256)

@@ -190,3 +190,29 @@ def test_graph_of_a_folder(spark, tmp_path):
     g = Graph(spark, str(tmp_path))
     assert [(x["from_uid"], x["derived"]) for x in g.all_relations.collect()] == [("file:a", False)]
     assert g.contains.count() == 1 and g.files.first()["content_hash"] == "ab"
+
+
+def test_ann_top_k_ranks_candidates_and_falls_back(spark):
+    import math
+
+    near = [(f"n:{i:02}", [math.cos(i / 500), math.sin(i / 500)] * 4) for i in range(13)]  # share their buckets
+    rows = [*near, ("z:far", [(-1.0) ** d * (d + 1) for d in range(8)])]  # a bucket of its own
+    v = spark.createDataFrame(rows, "uid string, vector array<double>")
+    got = {}
+    for r in vector.ann_top_k(v, v, 8, 10).orderBy("query", "rank").collect():
+        got.setdefault(r["query"], []).append(r["uid"])
+    cos = lambda a, b: sum(x * y for x, y in zip(a, b, strict=True)) / math.hypot(*a) / math.hypot(*b)
+    assert got["n:00"] == [f"n:{i:02}" for i in range(1, 11)]
+    want = sorted(((-cos(rows[-1][1], x), u) for u, x in near if cos(rows[-1][1], x) > 0))[:10]
+    assert len(want) == 10 and {u for _, u in want} == set(got["z:far"])
+
+
+def test_ann_candidates_probe_every_bit(spark):
+    import random
+
+    rng = random.Random(3)
+    v = spark.createDataFrame([(f"v:{i:03}", [rng.gauss(0, 1) for _ in range(8)]) for i in range(150)], "uid string, vector array<double>")
+    keys = {r["uid"]: r["k"] for r in v.select("uid", vector.bucket_keys(F.col("vector"), 8).alias("k")).collect()}
+    close = lambda a, b: any(sum(x != y for x, y in zip(k, m, strict=True)) <= 1 for k, m in zip(a, b, strict=True))
+    want = {(a, b) for a in keys for b in keys if close(keys[a], keys[b])}
+    assert {(r["query"], r["uid"]) for r in vector.ann_candidates(v, v, 8).collect()} == want
