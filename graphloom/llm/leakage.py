@@ -1,34 +1,39 @@
 """Evaluation texts leaking into training text (problem 8).
 
-Method. Texts become sequences of normalized words. Every window of n words, of the items and of
-the documents, is embedded by a CGK random walk: 3n steps, each of which emits the current word
-and moves on or stays by a random bit that depends on the step and the word, so that windows a
-few edits apart come out close in Hamming distance. Repeated bit sampling then hashes some of
-the steps; the number of repetitions is taken so that a window within the permitted number of
-edits meets its counterpart with the target recall (one, if no edit is permitted: equal windows
-have equal walks). A document window that falls on an item window's hash is verified by exact
-edit distance over the words themselves.
-
-Why it holds at size: the items are hashed once, measured, and sent in blocks of bounded size,
-one pass over the documents for each block; a document is read once per pass, in slabs, and
-nothing is shuffled but the pairs found.
-
-Words are runs of letters and digits after normalization: escapes (\\n, \\u0041, %20, &amp;) are
-resolved, inline tags dropped and other tags taken as breaks, compatibility forms folded, case
-folded, invisible characters removed.
+Method. Texts become sequences of normalized words. Every passage of n words of an item is a
+window of the size of the least passage that counts, and so is every n words of a document. CGK
+random walks embed the windows: 3n/2 steps, each of which emits the current word and moves on or
+stays by a random bit that depends on the step and the word, so that windows a few edits apart
+come out close in Hamming distance. Repeated bit sampling hashes some of the emitted words, by
+several draws on each of several walks; their number is measured, so that windows within the
+permitted edits meet with the target recall. Equal windows meet under every draw. Windows of a
+document that meet some item window are joined to stretches, the stretches meet the items by
+signature, and each pair is verified: the least edit distance of a window of the item to any
+part of the stretch, and the longest run of equal words.
+
+A whole item is no window: a document that holds 12 of its 70 words is 58 edits away from it.
+
+Why it holds at size: documents are read once, however many items there are. What goes to the
+workers is a Bloom filter of the item signatures, of bounded size; above the bound it lets more
+windows through, which the join by signature then drops. Only stretches that met a signature
+are shuffled, in pieces of bounded length. Texts are worked through in slabs.
+
+Words are runs of letters and digits after normalization: escapes (\\n, \\u0041, \\u{41}, \\101, %20,
+&amp;) are resolved, marks of comments and of character data dropped, inline tags dropped and other
+tags taken as breaks, whatever their length, commands of text markup dropped, compatibility
+forms folded, case folded, invisible characters removed.
 
 Cases. Null and empty texts, and items of fewer than n words, give no pairs. Repeated documents
-or items give a pair once. Null ids are kept as they are. Empty tables give no rows.
+or items give a pair once. A null doc_id or item_id is kept as it is. Empty tables give no rows.
 """
 
 from __future__ import annotations
 
+import functools
 import html
-import math
 import re
 import unicodedata
-from collections.abc import Iterator
-from functools import reduce
+from collections.abc import Callable, Iterator
 from urllib.parse import unquote
 
 import numpy as np
@@ -36,18 +41,31 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.scan import LETTER, NUMBER, HashIndex, RangeHash, classes, mix, points, slabs
+from graphloom.llm.scan import LETTER, NUMBER, RangeHash, classes, mix, points, slabs
+from graphloom.session import broadcast_if_small, cut
 
 WINDOW = 12
-SAMPLES = 20
-#: Bytes of item text in one block; a pass over the documents for each.
-BLOCK_BYTES = 8 << 20
+EDITS = 1
+RECALL = 0.95
+#: Sampled words of one draw, and draws on one walk.
+SAMPLES, DRAWS = 8, 4
+#: Bits of the Bloom filter for each signature, at most so many bits in all, and probes.
+FILTER_BITS, FILTER_MOST, FILTER_PROBES = 48, 1 << 29, 6
+#: Bits of the filter that one task builds.
+SEGMENT_BITS = 1 << 20
+#: Windows of one stretch.
+STRETCH = 256
 
 #: Tags inside a line of text, which part no words.
 INLINE = "a|abbr|b|bdi|bdo|big|cite|code|del|dfn|em|font|i|ins|kbd|mark|q|s|samp|small|span|strike|strong|sub|sup|tt|u|var|wbr"
-_INLINE = re.compile(rf"</?(?:{INLINE})(?:[ \t][^<>\n]{{0,300}})?/?>", re.IGNORECASE)
-_TAG = re.compile(r"<!--.{0,2000}?-->|</?[A-Za-z!?][^<>\n]{0,300}>", re.DOTALL)
-_UNICODE = re.compile(r"\\+u\{?([0-9a-fA-F]{4,6})\}?|\\+x([0-9a-fA-F]{2})")
+#: Commands of text markup whose argument is text.
+COMMANDS = "textbf|textit|texttt|textsc|textsf|textrm|textsl|textnormal|emph|underline|uline|enquote|mbox|text|mathrm|mathbf|mathit|mathsf|mathtt|section|subsection|subsubsection|paragraph|chapter|title|caption|footnote|item"
+_REST = r"""(?>(?:\s+[^\s"'<>/=]+(?>\s*=\s*(?>"[^"]*"|'[^']*'|[^\s"'=<>`]+))?)*+)\s*+/?>"""
+_INLINE = re.compile(rf"</?(?:{INLINE}){_REST}", re.IGNORECASE)
+_TAG = re.compile(rf"<!--|-->|<!\[CDATA\[|\]\]>|<!doctype[^<>]*+>|<\?[a-z][^<>]*+\?>|</?[a-z][^\s<>/=\"']*+{_REST}", re.IGNORECASE)
+_COMMAND = re.compile(rf"\\+(?:{COMMANDS})\*?(?=[\s{{\[])")
+_UNICODE = re.compile(r"\\+(?:u([0-9a-fA-F]{4})|u\{([0-9a-fA-F]{1,6})\}|U([0-9a-fA-F]{8})|x([0-9a-fA-F]{2})|x\{([0-9a-fA-F]{1,6})\})")
+_OCTAL = re.compile(r"\\+([0-3][0-7]{2})")
 _ESCAPE = re.compile(r"\\+([nrtfvb0])")
 _PERCENT = re.compile(r"(?:%[0-9a-fA-F]{2})+")
 
@@ -68,23 +86,28 @@ _INVISIBLE = _invisible()
 
 
 def _character(m: re.Match) -> str:
-    code = int(m[1] or m[2], 16)
+    code = int(next(g for g in m.groups() if g), 16)
     return chr(code) if code < 0x110000 else " "
 
 
+def _untagged(text: str) -> str:
+    return _TAG.sub(" ", _INLINE.sub("", text))
+
+
 def normalize(text: str) -> str:
     """The text of which runs of letters and digits are the words."""
     if "\\" in text:
+        text = _COMMAND.sub(" ", text)
         text, resolved = _UNICODE.subn(_character, text)
         if resolved:  # two escapes can make one character
             text = text.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
-        text = _ESCAPE.sub(" ", text)
+        text = _ESCAPE.sub(" ", _OCTAL.sub(lambda m: chr(int(m[1], 8)), text))
     if "%" in text:
         text = _PERCENT.sub(lambda m: unquote(m[0], errors="replace"), text)
-    if "<" in text:
-        text = _TAG.sub(" ", _INLINE.sub("", text))
-    if "&" in text:
-        text = html.unescape(text)
+    if "<" in text or "-->" in text:
+        text = _untagged(text)
+    while "&" in text and (plain := html.unescape(text)) != text:  # an escaped escape is shorter each time
+        text = _untagged(plain) if "<" in plain else plain
     if text.isascii():
         return text.lower()
     text = unicodedata.normalize("NFKC", _INVISIBLE.sub("", text))
@@ -116,140 +139,310 @@ class Words:
         return [self.joined[a:b] for a, b in zip(self.start[first : first + n].tolist(), self.end[first : first + n].tolist(), strict=True)]
 
 
-class Walk:
-    """One CGK embedding with its sampled steps."""
+class Walks:
+    """CGK walks over windows of n words, each with several draws of sampled steps."""
 
-    def __init__(self, n: int, samples: int, turn: int):
-        rng = np.random.default_rng(0xC6 + turn)
+    def __init__(self, n: int, samples: int, walks: int, draws: int = DRAWS):
         self.n = n
-        self.steps = set(rng.choice(3 * n, samples, replace=False).tolist())
-        self.salts = rng.integers(1, 1 << 63, 1 + 3 * n // 64, dtype=np.uint64)
+        self.plans = []
+        steps = n + n // 2  # on average three quarters of a window; what lies behind is seldom met
+        for turn in range(walks):
+            rng = np.random.default_rng(0xC6 + turn)
+            drawn = [set(rng.choice(steps, min(samples, steps), replace=False).tolist()) for _ in range(draws)]
+            salts = rng.integers(1, 1 << 63, 1 + steps // 64, dtype=np.uint64)
+            odd = rng.integers(1, 1 << 62, steps, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+            self.plans.append((salts, drawn, odd, rng.integers(1, 1 << 63, draws, dtype=np.uint64)))
 
     def signatures(self, hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """A 64-bit hash of the sampled steps for each window."""
+        """A 64-bit hash for each draw (row) and window (column): a sum of the sampled words by odd factors of their steps."""
+        out = np.empty((sum(len(p[1]) for p in self.plans), len(first)), np.uint64)
         words = np.r_[hashes, np.zeros(1, np.uint64)]
-        bits = [mix(words ^ s) for s in self.salts]
-        at, stop = first.copy(), first + self.n
-        out = np.full(len(first), 0x9E3779B97F4A7C15, np.uint64)
-        for t in range(max(self.steps) + 1):
-            inside = at < stop
-            here = np.where(inside, at, len(hashes))  # past the window every step emits the same pad
-            if t in self.steps:
-                out = (out ^ words[here]) * np.uint64(0xBF58476D1CE4E5B9)
-                out ^= out >> np.uint64(29)
-            at += inside & ((bits[t // 64][here] >> np.uint64(t % 64)) & np.uint64(1)).astype(bool)
+        row = 0
+        for salts, drawn, odd, starts in self.plans:
+            bits = [mix(words ^ s).view(np.int64) for s in salts]
+            last = 1 + max(max(d) for d in drawn)
+            for low in range(0, len(first), 1 << 14):
+                at = first[low : low + (1 << 14)].copy()
+                stop = at + self.n
+                made = out[row : row + len(drawn), low : low + (1 << 14)]
+                made[:] = starts[:, None]
+                for t in range(last):
+                    # Past the window, which takes n steps at least, every step emits the same pad.
+                    here = at if t < self.n else np.where(at < stop, at, len(hashes))
+                    some = [m for d, m in zip(drawn, made, strict=True) if t in d]
+                    if some:
+                        word = words[here] * odd[t]
+                        for m in some:
+                            m += word
+                    at += (bits[t // 64][here] >> (t % 64)) & 1
+            row += len(drawn)
         return out
 
 
-def edit_distance(a: list[str], b: list[str], most: int) -> int:
-    """Insertions, deletions and substitutions from a to b; most + 1 if more than most."""
-    if abs(len(a) - len(b)) > most:
-        return most + 1
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        prev, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            prev, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, prev + (x != y))
-        if min(row) > most:
-            return most + 1
-    return row[-1]
-
-
-def repetitions(n: int, samples: int, edits: int, recall: float) -> int:
-    """Walks needed so that a window within edits substitutions, insertions or deletions is met with the recall."""
+@functools.cache
+def measured(n: int, samples: int, edits: int, recall: float, trials: int = 2000, draws: int = DRAWS, most: int = 16) -> tuple[int, float]:
+    """Walks needed so that windows `edits` random edits apart meet with the recall, and the recall measured with them."""
     if edits == 0:
-        return 1
+        return 1, 1.0
     rng = np.random.default_rng(5)
-    walk, met, trials = Walk(n, samples, 0), 0, 2000
-    for _ in range(trials):
-        a = rng.integers(1, 1 << 62, 2 * n, dtype=np.uint64)
-        b = a.copy()
+    a = rng.integers(1, 1 << 62, (trials, 2 * n), dtype=np.uint64)
+    b = a.copy()
+    for row in b:
         for _ in range(edits):
-            i = int(rng.integers(0, n))
-            kind = rng.integers(0, 3)
-            b = np.delete(b, i) if kind == 0 else np.insert(b, i, rng.integers(1, 1 << 62, dtype=np.uint64)) if kind == 1 else np.r_[b[:i], rng.integers(1, 1 << 62, 1, dtype=np.uint64), b[i + 1 :]]
-        zero = np.zeros(1, np.int64)
-        met += walk.signatures(a, zero)[0] == walk.signatures(b, zero)[0]
-    rate = max(met, 1) / trials
-    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - rate))) if rate < 1 else 1
-
-
-class ItemIndex:
-    """The windows of a block of items under every walk."""
-
-    def __init__(self, items: list[tuple[int, str]], n: int, samples: int, edits: int, recall: float):
-        self.n, self.edits = n, edits
-        self.ids = [i for i, _ in items]
-        self.words = Words([t for _, t in items])
-        self.first = self.words.windows(n)
-        self.walks = [Walk(n, samples, k) for k in range(repetitions(n, samples, edits, recall))]
-        self.tables = []
-        for walk in self.walks:
-            sig = walk.signatures(self.words.hash, self.first)
-            order = np.argsort(sig, kind="stable")
-            keys, begin = np.unique(sig[order], return_index=True)
-            index = HashIndex()
-            index.add(keys)
-            self.tables.append((index, order, np.r_[begin, len(sig)]))
-
-    def matches(self, texts: list[str]) -> set[tuple[int, int]]:
-        """(text number, item id) of the texts that hold a window of an item, verified."""
-        docs = Words(texts)
-        first = docs.windows(self.n)
-        found: set[tuple[int, int]] = set()
-        tried: set[tuple] = set()
-        for walk, (index, order, begin) in zip(self.walks, self.tables, strict=True):
-            slot = index.get(walk.signatures(docs.hash, first))
-            for k in np.flatnonzero(slot >= 0).tolist():
-                at = int(first[k])
-                doc = int(docs.owner[at])
-                mine = None
-                for w in order[begin[slot[k]] : begin[slot[k] + 1]].tolist():
-                    theirs = int(self.first[w])
-                    pair = (doc, self.ids[self.words.owner[theirs]])
-                    if pair in found or (at, theirs) in tried:
-                        continue
-                    tried.add((at, theirs))
-                    mine = mine or docs.at(at, self.n)
-                    if self._near(mine, theirs):
-                        found.add(pair)
-        return found
-
-    def _near(self, mine: list[str], theirs: int) -> bool:
-        if self.edits == 0:
-            return mine == self.words.at(theirs, self.n)
-        owner = self.words.owner[theirs]
-        for size in range(self.n - self.edits, self.n + self.edits + 1):
-            last = theirs + size - 1
-            if last < len(self.words.owner) and self.words.owner[last] == owner and edit_distance(mine, self.words.at(theirs, size), self.edits) <= self.edits:
-                return True
-        return False
-
-
-def leaked_items(
-    documents: DataFrame, items: DataFrame, window: int = WINDOW, edits: int = 0, recall: float = 0.95, samples: int = SAMPLES, block_bytes: int = BLOCK_BYTES
-) -> DataFrame:
-    """doc_id, item_id: the documents that hold a window of `window` words of an item, up to `edits` edits."""
+            i, kind, new = int(rng.integers(0, n)), int(rng.integers(0, 3)), rng.integers(1, 1 << 62, dtype=np.uint64)
+            if kind == 0:
+                row[i:-1] = row[i + 1 :].copy()
+            elif kind == 1:
+                row[i + 1 :], row[i] = row[i:-1].copy(), new
+            else:
+                row[i] = new
+    first = np.arange(trials) * 2 * n
+    walks = Walks(n, samples, most, draws)
+    met = (walks.signatures(a.ravel(), first) == walks.signatures(b.ravel(), first)).reshape(most, draws, trials).any(axis=1)
+    got = np.logical_or.accumulate(met, axis=0).mean(axis=1)
+    enough = np.flatnonzero(got >= recall)
+    need = int(enough[0]) + 1 if len(enough) else most
+    return need, float(got[need - 1])
+
+
+def probes(signatures: np.ndarray, bits: int) -> np.ndarray:
+    """The places of each signature in a filter of so many bits (a power of two); one row for each probe."""
+    step = mix(signatures) | np.uint64(1)
+    return np.stack([((signatures + np.uint64(i) * step) & np.uint64(bits - 1)).astype(np.int64) for i in range(FILTER_PROBES)])
+
+
+def passing(signatures: np.ndarray, bits: int, body: np.ndarray) -> np.ndarray:
+    """Places of the signatures that the filter lets through; few outlast the first probe."""
+    left, step = np.arange(0), None
+    for i in range(FILTER_PROBES):
+        if i == 1:
+            step = mix(signatures[left]) | np.uint64(1)
+        at = ((signatures if i == 0 else signatures[left] + np.uint64(i) * step) & np.uint64(bits - 1)).view(np.int64)
+        on = np.flatnonzero((body[at >> 3] >> (at & 7).astype(np.uint8)) & 1)
+        left, step = (on, step) if i == 0 else (left[on], step[on])
+    return left
+
+
+class Passages:
+    """Word sequences with one numbering, and the places of each one's runs of m words."""
+
+    #: Sequences kept before the numbering starts over.
+    MOST = 4096
+
+    def __init__(self, m: int):
+        self.m = m
+        self.clear()
+
+    def clear(self) -> None:
+        self.number: dict[str, int] = {}
+        self.known: dict[str, tuple[np.ndarray, dict, list]] = {}
+
+    def get(self, key: str, words: Callable[[], list[str]]) -> tuple[np.ndarray, dict, list]:
+        """Numbers, places by run, and runs in order."""
+        if key not in self.known:
+            codes = [self.number.setdefault(w, len(self.number)) for w in words()]
+            runs = list(zip(*(codes[i:] for i in range(self.m)), strict=False))
+            places: dict[tuple, list[int]] = {}
+            for j, r in enumerate(runs):
+                places.setdefault(r, []).append(j)
+            self.known[key] = np.array(codes, np.int64), places, runs
+        return self.known[key]
+
+
+def _nearest(parts: np.ndarray, windows: np.ndarray) -> np.ndarray:
+    """The least edit distance of each window (a row) to any stretch of the words of its part."""
+    column = np.tile(np.arange(windows.shape[1] + 1), (len(windows), 1)).T
+    best = column[-1]
+    for word in parts.T:
+        new = np.zeros_like(column)
+        for i in range(1, len(column)):
+            new[i] = np.minimum(np.minimum(column[i], new[i - 1]) + 1, column[i - 1] + (windows[:, i - 1] != word))
+        column, best = new, np.minimum(best, new[-1])
+    return best
+
+
+def verify(pairs: list[tuple[tuple, tuple]], n: int, most: int) -> list[tuple[int, int]]:
+    """For each stretch and item (of Passages) the least edit distance (most + 1 if it is more) of n consecutive words of the
+    item to any part of the stretch, and the longest run of equal words (0 if it is under the length that any such part has).
+
+    Exact: k edits leave a run of at least (n - k) / (k + 1) equal words in a window, and the rest of its match lies
+    within k places of that run's diagonal.
+    """
+    m = least_run(n, most)
+    out: list[tuple[int, int]] = []
+    who, first, last, shift, texts, items = [], [], [], [], [], []
+    at_text = at_item = 0
+    pad = np.full(n + 2 * most, -1, np.int64)
+    for k, ((here, _, runs), (there, places, _)) in enumerate(pairs):
+        open_: dict[int, int] = {}  # diagonal: first place in the item of the run now open
+        ended: list[tuple[int, int, int]] = []
+        recent: dict[int, int] = {}
+        for i, r in enumerate(runs):
+            if r in places:
+                for j in places[r]:
+                    d = i - j
+                    if recent.get(d) != j - 1:
+                        if d in open_:
+                            ended.append((d, open_[d], recent[d] + m))
+                        open_[d] = j
+                    recent[d] = j
+        ended += [(d, j, recent[d] + m) for d, j in open_.items()]
+        longest = max((e - j for _, j, e in ended), default=0)
+        out.append((0 if longest >= n else most + 1, longest))
+        if longest >= n or not most or not ended:
+            continue
+        texts += [pad, here, pad]
+        items.append(there)
+        for d, j, e in ended:
+            who.append(k)
+            first.append(at_item + max(0, j + m - n))
+            last.append(at_item + min(e - m, len(there) - n))
+            shift.append(at_text + len(pad) + d - most - at_item)
+        at_text += 2 * len(pad) + len(here)
+        at_item += len(there)
+    if who:
+        text, item = np.concatenate(texts), np.concatenate(items)
+        many = np.maximum(np.array(last) - np.array(first) + 1, 0)
+        step = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        at = np.repeat(first, many) + step
+        whose, start = np.repeat(who, many), at + np.repeat(shift, many)
+        their, some = item[at[:, None] + np.arange(n)], text[start[:, None] + np.arange(n + 2 * most)]
+        held = np.zeros(len(at), np.int64)
+        for c in range(n):
+            held += (some == their[:, c, None]).any(axis=1)
+        near = np.flatnonzero(held >= n - most)  # each edit takes at most one word out
+        for k, f in zip(whose[near].tolist(), _nearest(some[near], their[near]).tolist(), strict=True):
+            out[k] = (min(out[k][0], f), out[k][1])
+    return out
+
+
+def least_run(n: int, most: int) -> int:
+    return max(1, -(-(n - most) // (most + 1)))
+
+
+def stretches(words: Words, first: np.ndarray, hit: np.ndarray, n: int, margin: int) -> Iterator[tuple[int, int, int, int]]:
+    """Text, first word, end, and end in `hit` of the stretches that the windows numbered `hit` (ascending) make up."""
+    low = 0
+    at, owner = first[hit], words.owner[first[hit]]
+    for high in range(1, len(hit) + 1):
+        if high < len(hit) and owner[high] == owner[low] and at[high] - at[high - 1] <= n and high - low < STRETCH:
+            continue
+        text = int(owner[low])
+        a, b = np.searchsorted(words.owner, (text, text + 1))
+        yield text, max(int(a), int(at[low]) - margin), min(int(b), int(at[high - 1]) + n + margin), high
+        low = high
+
+
+def item_signatures(items: DataFrame, window: int, samples: int, walks: int) -> DataFrame:
+    """item_no, sig: the signatures of every window of every item (item_no, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        plan = Walks(window, samples, walks)
+        for batch in batches:
+            ids, texts = np.asarray(batch.column(0).to_pylist(), np.int64), batch.column(1).to_pylist()
+            for low, high in slabs([len(t) for t in texts], 1 << 17):
+                words = Words(texts[low:high])
+                first = words.windows(window)
+                sig = plan.signatures(words.hash, first)
+                owner = np.tile(ids[low:high][words.owner[first]], len(sig))
+                yield pa.RecordBatch.from_arrays([pa.array(owner), pa.array(sig.ravel().view(np.int64))], ["item_no", "sig"])
+
+    return items.mapInArrow(run, "item_no bigint, sig bigint").distinct()
+
+
+def signature_filter(signatures: DataFrame) -> tuple[int, bytes]:
+    """Bits and body of a Bloom filter of the column sig, built in segments; its size is bounded by FILTER_MOST."""
+    n = signatures.select("sig").distinct().count()
+    bits = 1 << 10
+    while bits < min(n * FILTER_BITS, FILTER_MOST):
+        bits *= 2
+    size = min(bits, SEGMENT_BITS)
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(probes(batch.column(0).to_numpy().view(np.uint64), bits)))], ["place"])
+
+    def segment(table: pa.Table) -> pa.Table:
+        at = table["place"].to_numpy()
+        on = np.zeros(size, np.uint8)
+        on[at % size] = 1
+        return pa.table({"segment": pa.array([int(at[0]) // size], pa.int64()), "body": pa.array([np.packbits(on, bitorder="little").tobytes()], pa.binary())})
+
+    place = signatures.select("sig").distinct().mapInArrow(places, "place bigint").distinct()
+    parts = place.groupBy(F.expr(f"place div {size}")).applyInArrow(segment, "segment bigint, body binary")
+    body = bytearray(bits // 8)
+    for row in parts.toLocalIterator():
+        body[row["segment"] * size // 8 : (row["segment"] + 1) * size // 8] = row["body"]
+    return bits, bytes(body)
+
+
+def leaks(documents: DataFrame, items: DataFrame, window: int = WINDOW, edits: int = EDITS, recall: float = RECALL, samples: int = SAMPLES) -> DataFrame:
+    """doc_id, item_id, edits, run: documents with a part within `edits` edits of a window of the item, and the longest equal run near it."""
     spark = documents.sparkSession
     held = items.select("item_id", "text").where(F.col("text").isNotNull()).distinct()
-    size = held.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    blocks = -(-size // block_bytes)
-    docs = documents.select("doc_id", "text").where(F.col("text").isNotNull())
-    out = [spark.createDataFrame([], "doc_id bigint, item_id bigint")]
-    for k in range(blocks):
-        rows = held.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()
-        block = spark.sparkContext.broadcast([(r["item_id"], r["text"]) for r in rows])
-        out.append(docs.mapInArrow(_pass(block, window, samples, edits, recall), "doc_id bigint, item_id bigint"))
-    return reduce(DataFrame.unionByName, out).distinct()
-
-
-def _pass(block, window: int, samples: int, edits: int, recall: float):
+    held = cut(held.select(F.xxhash64("item_id", "text").alias("item_no"), "item_id", "text"))
+    walks, _ = measured(window, samples, edits, recall)
+    known = cut(item_signatures(held.select("item_no", "text").distinct(), window, samples, walks))
+    bits, body = signature_filter(known)
+    sieve = spark.sparkContext.broadcast(body)
+    docs = documents.select("doc_id", "text").where(F.length("text") > 0)
+    hits = docs.mapInArrow(_sift(sieve, bits, window, samples, walks, edits), "doc_id bigint, words string, sigs array<bigint>")
+    tasks = max(8, 2 * spark.sparkContext.defaultParallelism)
+    met = hits.select("doc_id", "words", F.explode("sigs").alias("sig")).join(broadcast_if_small(known), "sig")
+    # A number is given: what is to be verified is small in bytes and long in work.
+    met = met.groupBy("doc_id", "words").agg(F.collect_set("item_no").alias("item_nos")).repartition(tasks, "doc_id", "words")
+    pairs = met.select("doc_id", "words", F.explode("item_nos").alias("item_no")).join(broadcast_if_small(held), "item_no").select("doc_id", "words", "item_id", "text")
+    sure = pairs.mapInArrow(_verified(window, edits), "doc_id bigint, item_id bigint, edits int, run int")
+    return sure.groupBy("doc_id", "item_id").agg(F.min("edits").alias("edits"), F.max("run").alias("run"))
+
+
+def leaked_items(documents: DataFrame, items: DataFrame, window: int = WINDOW, edits: int = EDITS, recall: float = RECALL, samples: int = SAMPLES) -> DataFrame:
+    """doc_id, item_id: the documents that hold `window` consecutive words of an item, out of the verified stretches."""
+    return leaks(documents, items, window, edits, recall, samples).where(F.col("run") >= window).select("doc_id", "item_id")
+
+
+def _sift(sieve, bits: int, window: int, samples: int, walks: int, edits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = ItemIndex(block.value, window, samples, edits, recall)
+        body, plan = np.frombuffer(sieve.value, np.uint8), Walks(window, samples, walks)
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for low, high in slabs([len(t) for t in texts], 1 << 17):
-                pairs = sorted(index.matches(texts[low:high]), key=str)
-                yield pa.RecordBatch.from_arrays([pa.array([ids[low + d] for d, _ in pairs], pa.int64()), pa.array([i for _, i in pairs], pa.int64())], ["doc_id", "item_id"])
+                words = Words(texts[low:high])
+                first = words.windows(window)
+                sig = plan.signatures(words.hash, first)
+                met = [passing(s, bits, body) for s in sig]
+                hit = np.unique(np.concatenate(met)) if met else np.zeros(0, np.int64)
+                on = np.zeros(sig.shape, bool)
+                for r, m in enumerate(met):
+                    on[r, m] = True
+                rows, begin = [], 0
+                for text, a, b, end in stretches(words, first, hit, window, 2 * edits):
+                    some = hit[begin:end]
+                    rows.append((ids[low + text], " ".join(words.at(a, b - a)), np.unique(sig[:, some][on[:, some]]).view(np.int64)))
+                    begin = end
+                docs, text, sigs = zip(*rows, strict=True) if rows else ((), (), ())
+                yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(text, pa.string()), pa.array(list(sigs), pa.list_(pa.int64()))], ["doc_id", "words", "sigs"])
+
+    return run
+
+
+def _verified(window: int, edits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Passages(least_run(window, edits))
+
+        def words_of(text: str) -> list[str]:
+            w = Words([text])
+            return w.at(0, len(w.start))
+
+        for batch in batches:
+            docs, words, items, texts = (batch.column(i).to_pylist() for i in range(4))
+            rows = []
+            for low in range(0, len(docs), 512):
+                if len(known.known) > Passages.MOST:
+                    known.clear()
+                pairs = [(known.get(" " + w, lambda w=w: w.split(" ")), known.get("|" + t, lambda t=t: words_of(t))) for w, t in zip(words[low : low + 512], texts[low : low + 512], strict=True)]
+                rows += [(docs[low + k], items[low + k], *v) for k, v in enumerate(verify(pairs, window, edits)) if v[0] <= edits]
+            ids, names, least, longest = zip(*rows, strict=True) if rows else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(names, pa.int64()), pa.array(least, pa.int32()), pa.array(longest, pa.int32())], ["doc_id", "item_id", "edits", "run"])
 
     return run
