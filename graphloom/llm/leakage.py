@@ -352,7 +352,7 @@ def item_signatures(items: DataFrame, window: int, samples: int, walks: int) ->
 
 def signature_filter(signatures: DataFrame) -> tuple[int, bytes]:
     """Bits and body of a Bloom filter of the column sig, built in segments; its size is bounded by FILTER_MOST."""
-    n = signatures.select("sig").distinct().count()
+    n = signatures.count()
     bits = 1 << 10
     while bits < min(n * FILTER_BITS, FILTER_MOST):
         bits *= 2
@@ -360,18 +360,20 @@ def signature_filter(signatures: DataFrame) -> tuple[int, bytes]:
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(np.unique(probes(batch.column(0).to_numpy().view(np.uint64), bits)))], ["place"])
+            at = np.unique(probes(batch.column(0).to_numpy().view(np.uint64), bits))
+            first = np.flatnonzero(np.r_[True, at[1:] // size != at[:-1] // size][: len(at)])
+            parts = np.split((at % size).astype(np.int32), first[1:]) if len(at) else []
+            yield pa.RecordBatch.from_arrays([pa.array(at[first] // size, pa.int64()), pa.array(parts, pa.list_(pa.int32()))], ["segment", "places"])
 
     def segment(table: pa.Table) -> pa.Table:
-        at = table["place"].to_numpy()
         on = np.zeros(size, np.uint8)
-        on[at % size] = 1
-        return pa.table({"segment": pa.array([int(at[0]) // size], pa.int64()), "body": pa.array([np.packbits(on, bitorder="little").tobytes()], pa.binary())})
+        for part in table["places"].chunks:
+            on[part.flatten().to_numpy()] = 1
+        return pa.table({"segment": table["segment"].slice(0, 1), "body": pa.array([np.packbits(on, bitorder="little").tobytes()], pa.binary())})
 
-    place = signatures.select("sig").distinct().mapInArrow(places, "place bigint").distinct()
-    parts = place.groupBy(F.expr(f"place div {size}")).applyInArrow(segment, "segment bigint, body binary")
+    parts = signatures.select("sig").mapInArrow(places, "segment bigint, places array<int>").groupBy("segment").applyInArrow(segment, "segment bigint, body binary")
     body = bytearray(bits // 8)
-    for row in parts.toLocalIterator():
+    for row in parts.collect():  # at most FILTER_MOST bits in all
         body[row["segment"] * size // 8 : (row["segment"] + 1) * size // 8] = row["body"]
     return bits, bytes(body)
 
@@ -387,11 +389,12 @@ def leaks(documents: DataFrame, items: DataFrame, window: int = WINDOW, edits: i
     sieve = spark.sparkContext.broadcast(body)
     docs = documents.select("doc_id", "text").where(F.length("text") > 0)
     hits = docs.mapInArrow(_sift(sieve, bits, window, samples, walks, edits), "doc_id bigint, words string, sigs array<bigint>")
-    tasks = max(8, 2 * spark.sparkContext.defaultParallelism)
-    met = hits.select("doc_id", "words", F.explode("sigs").alias("sig")).join(broadcast_if_small(known), "sig")
+    hits = cut(hits.withColumn("stretch", F.xxhash64("doc_id", "words")))
+    met = hits.select("stretch", F.explode("sigs").alias("sig")).join(broadcast_if_small(known), "sig").select("stretch", "item_no").distinct()
     # A number is given: what is to be verified is small in bytes and long in work.
-    met = met.groupBy("doc_id", "words").agg(F.collect_set("item_no").alias("item_nos")).repartition(tasks, "doc_id", "words")
-    pairs = met.select("doc_id", "words", F.explode("item_nos").alias("item_no")).join(broadcast_if_small(held), "item_no").select("doc_id", "words", "item_id", "text")
+    met = cut(met).repartition(max(8, 2 * spark.sparkContext.defaultParallelism))
+    words = broadcast_if_small(hits.select("stretch", "doc_id", "words"))
+    pairs = met.join(words, "stretch").join(broadcast_if_small(held), "item_no").select("doc_id", "words", "item_id", "text")
     sure = pairs.mapInArrow(_verified(window, edits), "doc_id bigint, item_id bigint, edits int, run int")
     return sure.groupBy("doc_id", "item_id").agg(F.min("edits").alias("edits"), F.max("run").alias("run"))
 
