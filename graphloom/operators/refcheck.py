@@ -1,16 +1,17 @@
 """References to records that do not exist (problem 2).
 
-Method. String keys get order-preserving integer codes: every distinct key of either side
-falls into a hash bucket and is numbered by its order in that bucket. The codes of the
-existing records are compressed into runs of consecutive integers. Each referenced code is
-matched as-of to the run that starts at or before it; a code beyond that run's end, or
-before the first run, refers to no record. Keys that are integers already skip the
-dictionary and are cut into blocks by their high bits instead.
-
-Why it holds at size: references are reduced to distinct keys on the map side before
-anything moves, so a target that a third of all rows refer to is one key; the as-of match
-is a window over hash buckets, never over the whole key space; and the list of orphan keys
-is broadcast only after its size was measured.
+Method. Every key has an integer code: integer keys are their own, string keys take a hash of 63
+bits, each side by itself. The codes of the existing records alone are sorted and compressed
+into runs of consecutive integers, and a run keeps the keys behind its codes. Each referenced
+code is matched as-of to the run that starts at or before it; a code beyond that run's end, or
+before the first run, refers to no record, and one inside the run does only if its key is among
+the run's keys with that code, so that codes shared by chance decide nothing.
+
+Why it holds at size: references are reduced to distinct keys on the map side before anything
+moves, so a target that a third of all rows refer to is one key; the as-of match is a window
+over blocks of codes with equal high bits, never over the whole key space; and the list of keys
+that stand out is broadcast only after its size was measured. Beyond the bound the join goes by
+key, where adaptive execution splits a hot one.
 
 Cases. Null keys are not references and are left out. A repeated reference row gives its
 case once. An empty parent side makes every reference an orphan; an empty reference side
@@ -20,13 +21,16 @@ says it is alive) is not a tombstone; unreadable metadata counts as alive.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions.keys import normalize_uid
 from graphloom.session import broadcast_if_small, cut
 
-_CODE_BITS = 40
+#: Codes with equal bits above these are one block; hashed codes have 63 bits.
+HASH_BLOCK, INTEGER_BLOCK = 46, 20
 
 
 def current_records(entities: DataFrame) -> DataFrame:
@@ -44,55 +48,60 @@ def current_records(entities: DataFrame) -> DataFrame:
     )
 
 
-def key_codes(parents: DataFrame, refs: DataFrame, bucket_rows: int = 1 << 16) -> DataFrame:
-    """key, is_parent, code for the distinct keys of two one-column frames named key."""
-    both = parents.select("key", F.lit(True).alias("p")).unionByName(refs.select("key", F.lit(False).alias("p")))
-    distinct = cut(both.where(F.col("key").isNotNull()).groupBy("key").agg(F.max("p").alias("is_parent")))
-    buckets = max(64, distinct.count() // bucket_rows)
-    w = Window.partitionBy("bucket").orderBy("key")
-    return distinct.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets))).select(
-        "key", "is_parent", (F.shiftleft("bucket", _CODE_BITS) + F.row_number().over(w)).alias("code")
-    )
+def hash_code(key: Column) -> Column:
+    """A code of 63 bits, so that differences of codes and ranks never overflow."""
+    return F.shiftright(F.xxhash64(key), 1)
 
 
-def compress_runs(codes: DataFrame, block_bits: int = _CODE_BITS) -> DataFrame:
-    """Runs (block, run_start, run_end) of consecutive integers in the column code.
+def compress_runs(codes: DataFrame, block_bits: int) -> DataFrame:
+    """Runs (block, run_start, run_end, entries) of consecutive integers in the column code; entries are the rows of each.
 
-    A run never crosses a block, the range of codes with equal high bits, so blocks are independent.
+    A run never crosses a block, the range of codes with equal high bits, so blocks are independent. Of rows
+    that have a code only, runs keep no entries.
     """
     w = Window.partitionBy("block").orderBy("code")
-    island = codes.select("code").distinct().withColumn("block", F.shiftright("code", block_bits))
+    more = [c for c in codes.columns if c != "code"]
+    island = (codes if more else codes.distinct()).withColumn("block", F.shiftright("code", block_bits))
+    entries = F.collect_list(F.struct("code", *more)) if more else F.lit(None).cast("array<struct<code: bigint>>")
     return (
-        island.withColumn("island", F.col("code") - F.row_number().over(w))
+        island.withColumn("island", F.col("code") - F.dense_rank().over(w))
         .groupBy("block", "island")
-        .agg(F.min("code").alias("run_start"), F.max("code").alias("run_end"))
-        .select("block", "run_start", "run_end")
+        .agg(F.min("code").alias("run_start"), F.max("code").alias("run_end"), entries.alias("entries"))
+        .select("block", "run_start", "run_end", "entries")
     )
 
 
-def beyond_runs(refs: DataFrame, runs: DataFrame, block_bits: int = _CODE_BITS) -> DataFrame:
-    """The distinct codes of refs that lie in no run: each is matched to the preceding run's start."""
-    w = Window.partitionBy("block").orderBy("at", "is_ref").rowsBetween(Window.unboundedPreceding, 0)
-    line = runs.select("block", F.col("run_start").alias("at"), "run_end", F.lit(0).alias("is_ref")).unionByName(
-        refs.select("code").distinct().select(F.shiftright("code", block_bits).alias("block"), F.col("code").alias("at"), F.lit(None).cast("long").alias("run_end"), F.lit(1).alias("is_ref"))
+def preceding_run(refs: DataFrame, runs: DataFrame, block_bits: int) -> DataFrame:
+    """refs (with a column code) and run, the last run that starts at or before the code, null before the first."""
+    ref = F.struct(*refs.columns)
+    run = F.struct("run_start", "run_end", "entries")
+    line = runs.select("block", F.col("run_start").alias("at"), run.alias("run")).withColumn("ref", F.lit(None).cast(refs.select(ref).schema[0].dataType)).unionByName(
+        refs.select(F.shiftright("code", block_bits).alias("block"), F.col("code").alias("at"), F.lit(None).cast(runs.select(run).schema[0].dataType).alias("run"), ref.alias("ref"))
     )
-    reach = F.last("run_end", ignorenulls=True).over(w)
-    return line.withColumn("reach", reach).where((F.col("is_ref") == 1) & (F.coalesce("reach", F.lit(-(2**63))) < F.col("at"))).select(F.col("at").alias("code"))
+    w = Window.partitionBy("block").orderBy("at", F.col("ref").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    return line.withColumn("run", F.last("run", ignorenulls=True).over(w)).where(F.col("ref").isNotNull()).select("ref.*", "run")
 
 
-def orphan_codes(refs: DataFrame, parents: DataFrame, block_bits: int = 20) -> DataFrame:
+def orphan_codes(refs: DataFrame, parents: DataFrame, block_bits: int = INTEGER_BLOCK) -> DataFrame:
     """Integer keys: the distinct codes of refs (column code) without a row in parents (column code)."""
-    keep = F.col("code").isNotNull()
-    runs = compress_runs(parents.where(keep).select(F.col("code").cast("long")), block_bits)
-    return beyond_runs(refs.where(keep).select(F.col("code").cast("long")), runs, block_bits)
+    codes = lambda df: df.where(F.col("code").isNotNull()).select(F.col("code").cast("long"))
+    at = preceding_run(codes(refs).distinct(), compress_runs(codes(parents), block_bits), block_bits)
+    return at.where(F.col("run").isNull() | (F.col("code") > F.col("run.run_end"))).select("code")
+
+
+def match_keys(refs: DataFrame, parents: DataFrame, code: Callable[[Column], Column] = hash_code, block_bits: int = HASH_BLOCK) -> DataFrame:
+    """refs (distinct keys, column key) and found, the row of parents (distinct keys) with that key, null if there is none."""
+    coded = lambda df: df.withColumn("code", code(F.col("key")))
+    at = preceding_run(coded(refs), compress_runs(coded(parents), block_bits), block_bits)
+    inside = F.filter("run.entries", lambda e: (e["code"] == F.col("code")) & (e["key"] == F.col("key")))
+    found = F.when(F.col("code") <= F.col("run.run_end"), F.get(inside, F.lit(0)))
+    return at.select(*refs.columns, found.alias("found"))
 
 
-def orphan_keys(refs: DataFrame, parents: DataFrame) -> DataFrame:
+def orphan_keys(refs: DataFrame, parents: DataFrame, **more) -> DataFrame:
     """The distinct keys (column key) that refs hold and parents do not."""
-    codes = cut(key_codes(parents, refs))
-    runs = compress_runs(codes.where("is_parent").select("code"))
-    lost = beyond_runs(codes.where(~F.col("is_parent")).select("code"), runs)
-    return codes.join(lost, "code", "left_semi").select("key")
+    key = lambda df: df.select("key").where(F.col("key").isNotNull()).distinct()
+    return match_keys(key(refs), key(parents), **more).where("found IS NULL").select("key")
 
 
 def endpoints(relations: DataFrame) -> DataFrame:
@@ -140,24 +149,24 @@ def orphan_report(relations: DataFrame, unresolved: DataFrame, entities: DataFra
                 F.col("created_at").alias("at"),
             )
         )
-        .distinct()
     )
     records = cut(current_records(entities))
-    lost = orphan_keys(refs.select("key"), records.where(~F.col("deleted")).select(F.col("uid").alias("key"))).withColumn("lost", F.lit(True))
-    gone = records.where("deleted").select(F.col("uid").alias("key"), F.lit(True).alias("gone"))
-    born = records.where(~F.col("deleted")).select(F.col("uid").alias("key"), F.col("first_seen").alias("born"))
-    # Keys first, then counts per key and month: a hot key arrives at its join pre-aggregated.
-    per_key = refs.groupBy("table_name", "endpoint", "key", "at").agg(F.count(F.lit(1)).alias("n"))
+    alive = records.where(~F.col("deleted")).select(F.col("uid").alias("key"), "first_seen")
+    # Only keys that are lost, or whose record is younger than some reference, stand out; all others are counted as they are.
+    keys = match_keys(refs.groupBy("key").agg(F.min("at").alias("first_at")), alive)
+    born = F.col("found.first_seen")
+    apart = cut(keys.where(F.col("found").isNull() | (born > F.col("first_at"))).select("key", F.col("found").isNull().alias("lost"), born.alias("born")))
+    gone = records.where("deleted").select(F.col("uid").alias("key")).join(broadcast_if_small(apart.where("lost").select("key")), "key", "left_semi")
+    apart = cut(apart.join(gone.withColumn("gone", F.lit(True)), "key", "left"))
     is_lost, is_gone = F.coalesce("lost", F.lit(False)), F.coalesce("gone", F.lit(False))
     late = (~is_lost) & F.coalesce(F.col("born") > F.col("at"), F.lit(False))
-    total = lambda c, name: F.sum(F.when(c, F.col("n")).otherwise(0)).cast("long").alias(name)
+    total = lambda c, name: F.count_if(c).alias(name)
     return (
-        per_key.join(lost, "key", "left")
-        .join(gone, "key", "left")
-        .join(born, "key", "left")
+        refs.distinct()
+        .join(broadcast_if_small(apart), "key", "left")
         .groupBy("table_name", "endpoint", F.date_format("at", "yyyy-MM").alias("month"))
         .agg(
-            F.sum("n").cast("long").alias("references"),
+            F.count(F.lit(1)).alias("references"),
             total(is_lost, "orphans"),
             total(is_lost & ~is_gone, "missing"),
             total(is_lost & is_gone, "deleted"),

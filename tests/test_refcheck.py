@@ -46,6 +46,17 @@ def test_integer_runs(spark):
     assert rows(refcheck.orphan_codes(refs, parents)) == [(-9,), (0,), (4,), (9,), (2**20 + 1,)]
 
 
+def test_codes_shared_by_chance_decide_nothing(spark):
+    few = lambda key: F.length(key).cast("long")
+    parents = spark.createDataFrame([("a",), ("bb",), ("cc",), ("dddd",), ("dddd",)], "key string")
+    refs = spark.createDataFrame([("b",), ("bb",), ("cc",), ("xx",), ("ddd",), ("dddd",), ("",), ("eeeee",), (None,), ("b",)], "key string")
+    want = [("",), ("b",), ("ddd",), ("eeeee",), ("xx",)]
+    for bits in (0, 1, 46):
+        assert rows(refcheck.orphan_keys(refs, parents, code=few, block_bits=bits)) == want
+    runs = refcheck.compress_runs(parents.distinct().withColumn("code", few("key")), 46)
+    assert [(x["run_start"], x["run_end"], len(x["entries"])) for x in runs.orderBy("run_start").collect()] == [(1, 2, 3), (4, 4, 1)]
+
+
 def test_hot_key_and_report(spark):
     e = frame(spark, ENTITIES, [entity("file:a"), entity("file:late", created_at=day(20)), entity("file:dead", metadata='{"deleted": true}')])
     r = frame(spark, RELATIONS, [edge("file:a", "file:hot", "calls", id=i) for i in range(300)] + [edge("file:a", "file:late", "uses", id=900), edge("file:a", "file:dead", "uses", id=901)])
