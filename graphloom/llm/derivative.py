@@ -12,6 +12,7 @@ parentheses, quoted terminals, UPPER names for token kinds and lower names for r
 
 from __future__ import annotations
 
+import itertools
 import re
 import sys
 
@@ -32,6 +33,8 @@ class Grammar:
 
     #: Expressions kept before the memo starts over.
     MOST = 400_000
+    #: Frames of these functions live on the heap; only ambiguous ends (an `else` to any of many open `if`s) nest them.
+    DEPTH = 1_000_000
 
     def __init__(self, text: str, start: str):
         self._text, self._start = text, start
@@ -39,6 +42,7 @@ class Grammar:
 
     def _build(self) -> None:
         self._made: dict[tuple, Node] = {}
+        self._count = itertools.count()
         self.empty = self._node(EMPTY_TAG, None, None)
         self.eps = self._node(EPS_TAG, None, None)
         self.empty.nullable, self.eps.nullable = False, True
@@ -52,6 +56,7 @@ class Grammar:
             self.rules[name] = body
         self._fix_nullable()
         self.start = self.rules[self._start]
+        self._own = dict(self._made)
 
     def _alternatives(self, t: list[str], at: int) -> tuple[Node, int]:
         out = []
@@ -90,7 +95,7 @@ class Grammar:
         key = (tag, a if isinstance(a, (str, frozenset)) or a is None else a.n, None if b is None else b.n)
         node = self._made.get(key)
         if node is None:
-            node = self._made[key] = Node(tag, a, b, len(self._made))
+            node = self._made[key] = Node(tag, a, b, next(self._count))
         return node
 
     def cat(self, a: Node, b: Node) -> Node:
@@ -117,17 +122,20 @@ class Grammar:
             return self.empty
         if len(flat) == 1:
             return next(iter(flat.values()))
-        # Alternatives with one tail share it: the head alone decides the next steps.
-        tails: dict[int, list[Node]] = {}
+        # Alternatives with one head share it. So what is open stays a plain sequence, however deep brackets nest.
+        heads: dict[int, list[Node]] = {}
         for p in flat.values():
-            tails.setdefault(p.b.n if p.tag == CAT_TAG else -1 - p.n, []).append(p)
-        if len(tails) < len(flat):
-            merged = [g[0] if len(g) == 1 else self.cat(self.alt([p.a for p in g]), g[0].b) for g in tails.values()]
+            heads.setdefault(p.a.n if p.tag == CAT_TAG else p.n, []).append(p)
+        if len(heads) < len(flat):
+            merged = []
+            for g in heads.values():
+                head = g[0].a if g[0].tag == CAT_TAG else g[0]
+                merged.append(g[0] if len(g) == 1 else self.cat(head, self.alt([p.b if p.tag == CAT_TAG else self.eps for p in g])))
             return self.alt(merged)
         key = (ALT_TAG, frozenset(flat), None)
         node = self._made.get(key)
         if node is None:
-            node = self._made[key] = Node(ALT_TAG, None, tuple(flat[k] for k in sorted(flat)), len(self._made))
+            node = self._made[key] = Node(ALT_TAG, None, tuple(flat[k] for k in sorted(flat)), next(self._count))
         return node
 
     def _fix_nullable(self) -> None:
@@ -154,9 +162,20 @@ class Grammar:
     def is_nullable(self, x: Node) -> bool:
         if x.nullable is None:
             if x.tag == CAT_TAG:
-                x.nullable = self.is_nullable(x.a) and self.is_nullable(x.b)
+                chain, y = [], x
+                while y.tag == CAT_TAG and y.nullable is None and self.is_nullable(y.a):
+                    chain.append(y)
+                    y = y.b
+                known = y.nullable if y.nullable is not None else False if y.tag == CAT_TAG else self.is_nullable(y)
+                x.nullable = known
+                for c in chain:
+                    c.nullable = known
             elif x.tag == ALT_TAG:
-                x.nullable = any(map(self.is_nullable, x.b))
+                x.nullable = False
+                for p in x.b:
+                    if self.is_nullable(p):
+                        x.nullable = True
+                        break
             elif x.tag == REF_TAG:
                 x.nullable = self._known[x.a]
             else:
@@ -173,7 +192,15 @@ class Grammar:
         elif tag == CAT_TAG:
             out = self.cat(self.derive(x.a, token), x.b)
             if self.is_nullable(x.a):
-                out = self.alt([out, self.derive(x.b, token)])
+                parts, y = [out], x.b
+                while y.tag == CAT_TAG and token not in y.memo:
+                    parts.append(self.cat(self.derive(y.a, token), y.b))
+                    if not self.is_nullable(y.a):
+                        break
+                    y = y.b
+                else:
+                    parts.append(self.derive(y, token))
+                out = self.alt(parts)
         elif tag == ALT_TAG:
             out = self.alt([self.derive(p, token) for p in x.b])
         elif tag == STAR_TAG:
@@ -185,13 +212,19 @@ class Grammar:
         x.memo[token] = out
         return out
 
+    def _forget(self) -> None:
+        """Drop every expression but the grammar's own; one still in use lives on, without what it remembered."""
+        for node in self._made.values():
+            node.memo = {}
+        self._made = dict(self._own)
+
     def parse(self, kinds: list[str], soft: list[bool] | None = None) -> int | None:
         """None if the kinds are in the language, else the number of the failing token; their count means truncation.
 
         soft tells before which tokens (and the end) the token AUTO may be put in where the token itself cannot be.
         """
-        if len(self._made) > self.MOST:
-            self._build()
+        if sys.getrecursionlimit() < self.DEPTH:
+            sys.setrecursionlimit(self.DEPTH)
         state, empty, derive = self.start, self.empty, self.derive
         for i, k in enumerate(kinds):
             next_ = state.memo.get(k) or derive(state, k)
@@ -200,6 +233,8 @@ class Grammar:
             if next_ is empty:
                 return i
             state = next_
+            if len(self._made) > self.MOST:
+                self._forget()
         if self.is_nullable(state) or (soft is not None and self.is_nullable(derive(state, "AUTO"))):
             return None
         return len(kinds)

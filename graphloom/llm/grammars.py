@@ -149,7 +149,7 @@ type = fntype | utype ( 'extends' type '?' type ':' type )? ;
 fntype = 'abstract'? 'new'? tparams? '(' params? ')' '=>' rettype ;
 utype = '|'? itype ( '|' itype )* ;
 itype = '&'? ptype ( '&' ptype )* ;
-ptype = ( 'keyof' | 'unique' | 'readonly' | 'infer' ) ptype | atype ( '[' type? ']' )* ;
+ptype = ( 'keyof' | 'unique' | 'readonly' ) ptype | 'infer' id ( 'extends' utype )? | atype ( '[' type? ']' )* ;
 atype = typeref | 'typeof' ( id | 'this' | 'import' '(' STRING ')' ) ( '.' ( word | PRIVATE ) )* targs? | 'this' | 'void' | 'null' | 'true' | 'false' | STRING | '-'? NUMBER | TEMPLATE | '(' type ')'
   | '[' ( titem ( ',' titem )* ','? )? ']' | objtype | 'import' '(' STRING ')' ( '.' id )* targs? | 'asserts' id ;
 titem = '...'? ( id '?'? ':' )? '...'? type '?'? ;
@@ -165,7 +165,7 @@ attr = '#' '[' tokens ']' ;
 inner = '#' '!' '[' tokens ']' ;
 tokens = tree* ;
 tree = '(' tokens ')' | '[' tokens ']' | '{' tokens '}' | any ;
-any = NAME | '_' | NUMBER | STRING | CHAR | LIFETIME | keyword | mark ;
+any = NAME | 'union' | '_' | NUMBER | STRING | CHAR | LIFETIME | keyword | mark ;
 keyword = 'as' | 'async' | 'await' | 'break' | 'const' | 'continue' | 'crate' | 'dyn' | 'else' | 'enum' | 'extern' | 'false' | 'fn' | 'for' | 'if' | 'impl' | 'in' | 'let' | 'loop' | 'match' | 'mod' | 'move' | 'mut' | 'pub' | 'ref' | 'return' | 'self' | 'Self'
   | 'static' | 'struct' | 'super' | 'trait' | 'true' | 'type' | 'unsafe' | 'use' | 'where' | 'while' ;
 mark = '+' | '-' | '*' | '/' | '%' | '^' | '!' | '&' | '|' | '&&' | '||' | '<<' | '+=' | '-=' | '*=' | '/=' | '%=' | '^=' | '&=' | '|=' | '<<=' | '=' | '==' | '!=' | '>' | '<' | '>=' | '<=' | '@' | '.' | '..' | '...' | '..=' | ',' | ';' | ':' | '::' | '->' | '=>' | '#' | '$' | '?' | '~' ;
@@ -267,7 +267,7 @@ bin = un ( binop n un )* ;
 binop = '+' | '-' | '*' | '/' | '%' | '**' | '&' | '|' | '^' | '<<' | '>>' | '&&' | '||' | '==' | '!=' | '===' | '=~' | '!~' | '<=>' | '<' | '>' | '<=' | '>=' ;
 un = ( '-' | '!' | '+' | '~' | 'U-' | 'U+' | '&' | 'defined?' ) n un | 'defined?' 'CALL' n expr n ')' tail* | post ;
 post = prim tail* ;
-tail = ( '.' | '&.' ) n ( fcall | CALL1 ) | '::' n ( fcall | CONST callargs? block? ) | IDX n ( args )? n ']' block? ;
+tail = ( '.' | '&.' ) n ( fcall | ( 'CALL' | '(' ) n ( args n )? ')' block? ) | '::' n ( fcall | CONST callargs? block? ) | IDX n ( args )? n ']' block? ;
 fcall = ( FNAME | NAME | CONST ) ( callargs | cmdargs )? block? ;
 CALL1X = NAME ;
 callargs = 'CALL' n ( args n )? ')' ;

@@ -386,6 +386,10 @@ _RS_STRING = re.compile(r'(?:[^"\\]|\\[\s\S])*"')
 _RS_SUFFIX = frozenset("u8 u16 u32 u64 u128 usize i8 i16 i32 i64 i128 isize f32 f64".split())
 
 
+#: What follows `union` where it is a keyword.
+_RS_UNION = re.compile(r"\s+((?:r#)?[^\W\d]\w*)\s*(?:[<{]|where\b)")
+
+
 def rust(text: str) -> tuple[list[str], list[int]]:
     kinds: list[str] = []
     at_: list[int] = []
@@ -436,7 +440,8 @@ def rust(text: str) -> tuple[list[str], list[int]]:
             kinds.append("NUMBER")
         elif m["name"]:
             word = m["name"]
-            kinds.append(sys.intern(word) if word in RS_WORDS else "_" if word == "_" else "NAME")
+            soft = word == "union" and (n := _RS_UNION.match(text, m.end())) and n[1] not in RS_WORDS
+            kinds.append(sys.intern(word) if soft or word in RS_WORDS else "_" if word == "_" else "NAME")
         else:
             kinds.append(sys.intern(m["mark"]))
         at = m.end()

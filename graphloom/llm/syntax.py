@@ -2,22 +2,20 @@
 
 Method. A file's tokens run through the derivatives of its language's grammar, memoised over all
 files of a worker. An empty derivative names the failing token; an end that is not nullable means
-truncation, as does a literal, comment or bracket that is never closed. For Python an exact check
-by the standard parser follows on the files so flagged.
+truncation, as does a literal, comment or bracket that is never closed.
 
-Why it holds at size: files are told apart by content hash before parsing, so a file that occurs
-often is parsed once; parsing is one pass in its task, and the memo is bounded.
+Why it holds at size: a file is parsed where it is read, in one pass, and its content is not moved;
+what is open in a text is a plain sequence, so depth costs neither stack nor time; the memo is
+bounded at every token. Only the failures are shuffled, to count repeated rows once.
 
 Cases. The language is that of the path's extension (.py, .ts, .rs, .rb); other paths are left
 out, as are null paths. Null contents count as empty, and empty files are valid. A leading byte
 order mark is skipped. Rows of one path with different contents give the path once if any of
-them fails. A text nested too deep for the worker's stack counts as failing at its start. An empty table gives no rows.
+them fails. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
-import ast
-import warnings
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -49,53 +47,30 @@ def failure(language: str, text: str) -> tuple[str, int] | None:
             kinds, at, soft = lexers.typescript(text)
         else:
             kinds, at = getattr(lexers, language)(text)
-    except RecursionError:
-        found = ("token", 0)
     except lexers.Broken as e:
-        found = ("truncated" if e.open else "token", e.at)
-    else:
-        try:
-            where = grammar(language).parse(kinds, soft)
-        except RecursionError:
-            where = 0
-        if where is None:
-            return None
-        found = ("truncated", len(text)) if where == len(kinds) else ("token", at[where])
-    if language == "python" and _parses(text):
+        return "truncated" if e.open else "token", e.at
+    where = grammar(language).parse(kinds, soft)
+    if where is None:
         return None
-    return found
+    return ("truncated", len(text)) if where == len(kinds) else ("token", at[where])
 
 
-def _parses(text: str) -> bool:
-    with warnings.catch_warnings():
-        warnings.simplefilter("ignore")
-        try:
-            ast.parse(text)
-        except (SyntaxError, ValueError, RecursionError, MemoryError):
-            return False
-    return True
-
-
-_OUT = "content_key binary, ext string, failure string, failed_at int, line int, column int"
+_OUT = {"path": pa.string(), "repo": pa.string(), "ext": pa.string(), "failure": pa.string(), "failed_at": pa.int32(), "line": pa.int32(), "column": pa.int32()}
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    import sys
-
-    sys.setrecursionlimit(20_000)
     for batch in batches:
         rows = []
-        for key, ext, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+        for path, repo, ext, text in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
             if text and (found := failure(LANGUAGES[ext], text)):
-                body = text.removeprefix("﻿")[: found[1]]
-                rows.append((key, ext, found[0], found[1], body.count("\n") + 1, len(body) - body.rfind("\n")))
-        cols = list(zip(*rows, strict=True)) if rows else [()] * 6
-        kinds = [pa.binary(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["content_key", "ext", "failure", "failed_at", "line", "column"])
+                body = text.removeprefix("\ufeff")[: found[1]]
+                rows.append((path, repo, ext, found[0], found[1], body.count("\n") + 1, len(body) - body.rfind("\n")))
+        cols = list(zip(*rows, strict=True)) if rows else [()] * len(_OUT)
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, _OUT.values(), strict=True)], list(_OUT))
 
 
 def files(source_files: DataFrame) -> DataFrame:
-    """path (normalized), ext, repo, content, content_key of the files in a known language."""
+    """path (normalized), ext, repo, content of the files in a known language."""
     p = normalize_path(F.col("path"))
     return source_files.select(
         p.alias("path"), F.regexp_extract(p, r"\.(py|ts|rs|rb)$", 1).alias("ext"), "repo", F.coalesce("content", F.lit("")).alias("content")
@@ -104,10 +79,8 @@ def files(source_files: DataFrame) -> DataFrame:
 
 def unparsable(source_files: DataFrame) -> DataFrame:
     """path, repo, ext, failure, failed_at, line, column: a row for each failing path and content."""
-    rows = files(source_files).withColumn("content_key", F.unhex(F.sha2("content", 256)))
-    texts = rows.groupBy("content_key", "ext").agg(F.first("content").alias("content")).select("content_key", "ext", "content")
-    failed = texts.mapInArrow(_parse, _OUT)
-    return rows.drop("content").join(failed, ["content_key", "ext"]).select("path", "repo", "ext", "failure", "failed_at", "line", "column").distinct()
+    ddl = "path string, repo string, ext string, failure string, failed_at int, line int, column int"
+    return files(source_files).select("path", "repo", "ext", "content").mapInArrow(_parse, ddl).distinct()
 
 
 def rates(source_files: DataFrame, entities: DataFrame) -> DataFrame:

@@ -1,5 +1,5 @@
 import ast
-import sys
+import time
 import warnings
 
 import pytest
@@ -39,18 +39,45 @@ BROKEN = {
 }
 
 
-@pytest.fixture(autouse=True)
-def _deep():
-    old = sys.getrecursionlimit()
-    sys.setrecursionlimit(20_000)
-    yield
-    sys.setrecursionlimit(old)
+@pytest.mark.parametrize(("language", "text"), [(k, t) for k, v in VALID.items() for t in v])
+def test_valid(language, text):
+    assert syntax.failure(language, text) is None
 
 
-@pytest.mark.parametrize(("language", "text"), [(k, t) for k, v in VALID.items() for t in v])
-def test_valid(language, text, monkeypatch):
-    monkeypatch.setattr(syntax, "_parses", lambda _: False)
+MORE = {
+    "ruby": ["f.(1)\n", "a&.(b, c: 1) { |x| x }\n", "f.() + g\n"],
+    "rust": ["union U { a: i32 }", "pub union U<T> where T: Copy { a: T, b: u8 }", "fn f() { let union = 1; union.x(); g(union) }", "fn union(a: u8) {}"],
+    "typescript": ["type A<T> = T extends infer U extends string ? U : never\n", "type A<T> = T extends (infer U extends string) ? U : never\n", "type A<T> = T extends [infer H, ...infer R] ? R : never\n"],
+}
+
+
+@pytest.mark.parametrize(("language", "text"), [(k, t) for k, v in MORE.items() for t in v])
+def test_valid_constructs(language, text):
+    assert syntax.failure(language, text) is None
+
+
+DEEP = {
+    "rust": [("fn f() " + "{" * 8000 + "}" * 8000), ("fn f() { x(" + "(" * 8000 + "1" + ")" * 8000 + ") }")],
+    "typescript": ["{" * 8000 + "}" * 8000, "x = " + "[" * 8000 + "]" * 8000, "if (a) " * 3000 + ";", "x = " + "(" * 3000 + "1" + ")" * 3000],
+    "ruby": ["x = " + "[" * 8000 + "]" * 8000 + "\n", "if a\n" * 4000 + "end\n" * 4000, "x = " + "(" * 4000 + "1" + ")" * 4000 + "\n"],
+    "python": ["x = " + "[" * 190 + "]" * 190 + "\n", "x = " + "-" * 5000 + "1\n"],
+}
+
+
+@pytest.mark.parametrize(("language", "text"), [(k, t) for k, v in DEEP.items() for t in v])
+def test_depth_costs_neither_stack_nor_square_time(language, text):
+    began = time.process_time()
     assert syntax.failure(language, text) is None
+    assert syntax.failure(language, text[:-2].rstrip(";")) is not None or language == "typescript"
+    assert time.process_time() - began < 4
+
+
+def test_memo_is_bounded_within_a_file(monkeypatch):
+    monkeypatch.setattr(Grammar, "MOST", 3000)
+    body = "fn f(a: u8) -> u8 { match a { 1 => { g(a, [b; 2])?; 3 } _ => { if x { y } else { z }; 4 } } }\n" * 50
+    g = Grammar(syntax.grammars.RUST, "file")
+    kinds, at = syntax.lexers.rust(body)
+    assert g.parse(kinds) is None and g.parse([*kinds, "}"]) == len(kinds) and len(g._made) <= 3500
 
 
 @pytest.mark.parametrize(("language", "text"), [(k, t) for k, v in BROKEN.items() for t in v])
@@ -66,11 +93,10 @@ def test_truncation_is_told_from_a_wrong_token(language):
     assert kind == "token" and at == len(text)
 
 
-def test_python_agrees_with_the_standard_parser_on_its_own_sources(monkeypatch):
+def test_python_agrees_with_the_standard_parser_on_its_own_sources():
     import graphloom.llm.lexers as a
     import graphloom.operators.hierarchy as b
 
-    monkeypatch.setattr(syntax, "_parses", lambda _: False)
     for m in (a, b, ast, warnings):
         body = open(m.__file__).read()
         assert syntax.failure("python", body) is None
@@ -91,7 +117,7 @@ def test_derivatives_are_shared_and_bounded():
     before = len(g._made)
     assert g.parse(list("aaabbb")) is None and len(g._made) == before
     g.MOST = 1
-    assert g.parse(list("ab")) is None and len(g._made) <= before
+    assert g.parse(list("ab")) is None and len(g._made) <= before and g.parse(list("aabb")) is None
 
 
 def test_operator(spark):
