@@ -1,17 +1,21 @@
 """Parent-child links to full hierarchies (problem 4).
 
-Method. Leaves and roots are peeled round by round; what never peels is the core, and the
-strongly connected components of the core are the cycles. With the links into cycle nodes
-taken out the rest is a forest. Its Euler tours are built as linked lists of arcs (each node
-is entered once and left once) and ranked in parallel: random-mate contraction shortens the
-lists until they fit one bounded task, which jumps pointers, and the removed arcs are ranked
-in reverse order of removal. The ranks are entry and exit positions: a node's descendants are
-the nodes that enter inside its interval, and one sweep in entry order, with the open
-ancestors at the start of each range as a halo, gives depth and path.
+Method. Leaves and roots are peeled round by round; where a round peels little, nodes with one
+link in and one out are spliced out of their chains, so that a chain of any length is gone after
+a number of rounds that grows with its logarithm. What never peels is the core, and the strongly
+connected components of the core are the cycles. With the links into cycle nodes taken out the
+rest is a forest. Its Euler tours are built as linked lists of arcs (each node is entered once
+and left once) and ranked in parallel: first every range of neighboring nodes contracts the
+stretches that lie inside it, then random-mate contraction shortens what runs between ranges,
+until a few thousand arcs are left, which one task ranks by pointer jumping; the removed arcs
+are ranked in reverse order of removal. The ranks are entry and exit positions: a node's
+descendants are the nodes that enter inside its interval, and one sweep in entry order, with the
+open ancestors at the start of each range as a halo, gives depth and path.
 
 Why it holds at size: nodes are 64-bit ids in every loop; each round is cut; a parent with a
-third of all children is split over range partitions when siblings are chained; loops hand
-over to a single task only below a fixed row bound, and above it go on distributed.
+third of all children is split over range partitions when siblings are chained; only rows whose
+interval passes the end of their own range are copied, to the ranges they span and no others;
+a single task gets no more than LOCAL_LINKS or LOCAL_ARCS rows, or one range.
 
 Cases. Null endpoints and rows of another kind are left out; repeated links count once; keys
 compare after normalization. A node on a cycle (a link to itself included) is reported as
@@ -30,14 +34,16 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.functions.keys import normalize_uid
+from graphloom.functions.keys import normalize_uid, uid_path
 from graphloom.session import broadcast_if_small, cut
 
-#: Rows that one task may hold when a loop hands over: links of a core, arcs of shortened lists.
-LOCAL_LINKS = 1 << 19
-LOCAL_ARCS = 1 << 22
-#: Rows of one range partition of the sweep.
+#: Rows with which a loop hands over to one task: links of a core, arcs of shortened lists.
+LOCAL_LINKS = 1 << 12
+LOCAL_ARCS = 1 << 13
+#: Rows of one range partition.
 SWEEP_ROWS = 1 << 16
+#: A round that leaves more than this part of the links is followed by a splice.
+SLOW = 0.9
 
 
 def links(relations: DataFrame, kind: str = "contains") -> DataFrame:
@@ -61,22 +67,51 @@ def encode(link: DataFrame) -> tuple[DataFrame, DataFrame]:
         seed += 1
 
 
-def peel(edges: DataFrame, local: int = LOCAL_LINKS) -> tuple[DataFrame, int]:
-    """The links left after peeling nodes without a parent or without a child, and their number.
+def _splice(edges: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
+    """The links with some chain nodes spliced out, and those nodes (id, before, after).
 
-    Stops when nothing peels any more, or when what is left fits one task.
+    A chain node has one link in and one out. It goes if its coin is greater than those of both neighbors,
+    so no two neighbors go at once.
+    """
+    single = lambda end, other, name: edges.groupBy(F.col(end).alias("id")).agg(F.count(F.lit(1)).alias("n"), F.min(other).alias(name)).where("n = 1").drop("n")
+    coin = lambda c: F.xxhash64(F.col(c), F.lit(turn))
+    chain = single("dst", "src", "before").join(single("src", "dst", "after"), "id").where("before <> id AND after <> id")
+    out = cut(chain.where((coin("id") > coin("before")) & (coin("id") > coin("after"))).select("id", "before", "after"))
+    gone = broadcast_if_small(out.select("id"))
+    rest = edges.join(gone, edges.src == gone.id, "left_anti").join(gone, edges.dst == gone.id, "left_anti")
+    return cut(rest.unionByName(out.select(F.col("before").alias("src"), F.col("after").alias("dst"))).distinct()), out
+
+
+def peel(edges: DataFrame, local: int = LOCAL_LINKS) -> tuple[DataFrame, int, list[DataFrame]]:
+    """The links left after peeling nodes without a parent or without a child, their number, and the nodes spliced out.
+
+    Stops when nothing peels or splices any more, or when what is left fits one task.
     """
     edges = cut(edges)
-    n = edges.count()
+    n, turn, spliced = edges.count(), 0, []
     while n > local:
         has_parent = edges.select(F.col("dst").alias("src")).distinct()
         has_child = edges.select(F.col("src").alias("dst")).distinct()
         edges = cut(edges.join(has_parent, "src", "left_semi").join(has_child, "dst", "left_semi"))
         m = edges.count()
+        if m > n * SLOW and m > local:
+            edges, out = _splice(edges, turn)
+            spliced.append(out)
+            m = edges.count()
+            turn += 1
         if m == n:
             break
         n = m
-    return edges, n
+    return edges, n, spliced
+
+
+def _rejoin(found: DataFrame, spliced: list[DataFrame]) -> DataFrame:
+    """id, cycle with the spliced nodes put back: one is on a cycle if the nodes before and after it are on the same."""
+    for out in reversed(spliced):
+        before = found.select(F.col("id").alias("before"), "cycle")
+        after = found.select(F.col("id").alias("after"), "cycle")
+        found = cut(found.unionByName(out.join(before, "before").join(after, ["after", "cycle"]).select("id", "cycle")))
+    return found
 
 
 def _components(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -139,17 +174,20 @@ def _components(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame({"id": names[on], "cycle": label[comp_][on]})
 
 
-def _components_distributed(edges: DataFrame) -> DataFrame:
+def _components_distributed(edges: DataFrame, local: int = LOCAL_LINKS) -> DataFrame:
     """id, cycle by forward and backward coloring: a color is the least id that reaches a node."""
     found = edges.where("src = dst").select(F.col("src").alias("id"), F.col("src").alias("cycle"))
     rest = edges.where("src <> dst")
+    turns: list[list[DataFrame]] = []
     while True:
-        rest, n = peel(rest, 0)
-        if n == 0:
-            break
-        if n <= LOCAL_LINKS:
+        rest, n, spliced = peel(rest, local)
+        turns.append(spliced)
+        if n <= local:
             found = found.unionByName(rest.coalesce(1).mapInPandas(_components, "id bigint, cycle bigint"))
             break
+        # A cycle that was spliced down to one node is a link from it to itself.
+        found = found.unionByName(rest.where("src = dst").select(F.col("src").alias("id"), F.col("src").alias("cycle")))
+        rest = cut(rest.where("src <> dst"))
         color = cut(rest.select(F.explode(F.array("src", "dst")).alias("id")).distinct().withColumn("color", F.col("id")))
         while True:
             pushed = rest.join(color, rest.src == color.id).select(F.col("dst").alias("id"), "color")
@@ -174,15 +212,22 @@ def _components_distributed(edges: DataFrame) -> DataFrame:
         found = found.unionByName(back.join(many, "color", "left_semi").select("id", F.col("color").alias("cycle")))
         gone = back.select("id")
         rest = rest.join(gone, rest.src == gone.id, "left_anti").join(gone, rest.dst == gone.id, "left_anti")
-    return found.groupBy("id").agg(F.min("cycle").alias("cycle"))
+    # A node can loop to itself and lie on a greater cycle as well.
+    found = cut(found.groupBy("id").agg(F.min("cycle").alias("cycle")))
+    for spliced in reversed(turns):
+        found = _rejoin(found, spliced)
+    return found
 
 
 def cycle_nodes(edges: DataFrame, local: int = LOCAL_LINKS) -> DataFrame:
     """id, cycle (the least id on it) for the nodes on a cycle of src -> dst."""
-    core, n = peel(edges, local)
-    if n <= local:
-        return core.coalesce(1).mapInPandas(_components, "id bigint, cycle bigint")
-    return _components_distributed(core)
+    core, n, spliced = peel(edges, local)
+    found = core.coalesce(1).mapInPandas(_components, "id bigint, cycle bigint") if n <= local else _components_distributed(core, local)
+    if not spliced:
+        return found
+    found = cut(_rejoin(cut(found), spliced))
+    least = found.groupBy("cycle").agg(F.min("id").alias("least"))
+    return found.join(least, "cycle").select("id", F.col("least").alias("cycle"))
 
 
 def cycle_uids(relations: DataFrame, kind: str = "contains", local: int = LOCAL_LINKS) -> DataFrame:
@@ -207,6 +252,40 @@ def _next_row(df: DataFrame, keys: list[str], value: str, partitions: int) -> Da
     return inner.join(F.broadcast(heads), "part").select(*df.columns, (F.col("offset") + F.col("row") - 1).alias("at"), F.coalesce("inner_next", after).alias("follower"))
 
 
+def _chains(x: np.ndarray, nxt: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For the arcs x (ascending) of one range: the last arc of each one's stretch inside it (its place), the steps to that, and whether none leads to it.
+
+    A stretch ends before the end of a list, so ends stay arcs of their own.
+    """
+    at = np.minimum(np.searchsorted(x, nxt), len(x) - 1)
+    inside = (x[at] == nxt) & (nxt[at] >= 0)
+    entered = np.zeros(len(x), bool)
+    entered[at[inside]] = True
+    at = np.where(inside, at, np.arange(len(x)))
+    dist = inside.astype(np.int64)
+    while True:
+        ahead = at[at]
+        if (ahead == at).all():
+            return at, dist, ~entered
+        dist = dist + dist[at]
+        at = ahead
+
+
+def _contract(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """arc, next, dist, stays: an arc that stays steps to the first arc behind its stretch, and so does each that goes."""
+    parts = list(frames)
+    if not parts:
+        return
+    arcs = pd.concat(parts)
+    if arcs.empty:
+        return
+    order = np.argsort(arcs["arc"].to_numpy())
+    x, nxt = arcs["arc"].to_numpy()[order], arcs["next"].to_numpy()[order]
+    at, dist, first = _chains(x, nxt)
+    end = nxt < 0
+    yield pd.DataFrame({"arc": x, "next": nxt[at], "dist": np.where(end, 0, dist + 1), "stays": first | end})
+
+
 def _rank_local(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     parts = list(frames)
     if not parts:
@@ -229,9 +308,13 @@ def _rank_local(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def rank_lists(arcs: DataFrame, local: int = LOCAL_ARCS) -> DataFrame:
-    """arc, rank (steps to the end of its list), last (the arc at that end); arcs has arc, next (-1 at an end)."""
-    live = cut(arcs.select("arc", "next", F.lit(1).cast("long").alias("dist")))
-    removed: list[DataFrame] = []
+    """arc, rank (steps to the end of its list), last (the arc at that end); arcs has arc, next (-1 at an end).
+
+    Each partition of arcs is contracted in its task first; partitions of bounded size that hold neighbors make that most of the work.
+    """
+    stretches = cut(arcs.select("arc", "next").mapInPandas(_contract, "arc bigint, next bigint, dist bigint, stays boolean"))
+    live = stretches.where("stays").select("arc", "next", "dist")
+    removed: list[DataFrame] = [stretches.where("NOT stays").select("arc", "next", "dist")]
     turn = 0
     while live.count() > local:
         coin = lambda c: F.pmod(F.xxhash64(F.col(c), F.lit(turn)), F.lit(2)) == 1  # noqa: B023,E731
@@ -281,6 +364,25 @@ def _sweep(pdf: pd.DataFrame) -> pd.DataFrame:
     return out
 
 
+def _spanned(heads: pd.DataFrame):
+    part, root, head = (heads[c].to_numpy() for c in ("part", "root", "head"))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """A copy of each row for every later range that starts inside its interval."""
+        for pdf in frames:
+            low, high = np.searchsorted(root, pdf["root"], "left"), np.searchsorted(root, pdf["root"], "right")
+            rows, to = [], []
+            for i, (a, b, entry, exit_) in enumerate(zip(low, high, pdf["entry"], pdf["exit"], strict=True)):
+                spans = part[a + np.searchsorted(head[a:b], entry, "right") : a + np.searchsorted(head[a:b], exit_, "left")]
+                rows += [i] * len(spans)
+                to += spans.tolist()
+            out = pdf.iloc[rows][["id", "uid", "root", "entry", "exit"]].copy()
+            out["part"] = np.array(to, np.int32)
+            yield out
+
+    return run
+
+
 def euler_forest(tree: DataFrame, partitions: int, local: int = LOCAL_ARCS) -> DataFrame:
     """id, uid, root, entry, exit for a forest given as id, uid, parent (null at a root)."""
     rows = _next_row(tree, ["parent", "uid"], "id", partitions)
@@ -290,9 +392,11 @@ def euler_forest(tree: DataFrame, partitions: int, local: int = LOCAL_ARCS) -> D
     sib = place.select(F.col("id").alias("sibling"), F.col("at").alias("sibling_at"))
     up = place.select(F.col("id").alias("parent"), F.col("at").alias("parent_at"))
     full = cut(rows.join(first, "id", "left").join(sib, "sibling", "left").join(up, "parent", "left").select("id", "uid", "at", "first", "sibling_at", "parent_at"))
-    enter = full.select((F.col("at") * 2).alias("arc"), F.coalesce(F.col("first") * 2, F.col("at") * 2 + 1).alias("next"))
-    leave = full.select((F.col("at") * 2 + 1).alias("arc"), F.coalesce(F.col("sibling_at") * 2, F.col("parent_at") * 2 + 1, F.lit(-1)).alias("next"))
-    ranks = rank_lists(enter.unionByName(leave), local)
+    enter = F.struct((F.col("at") * 2).alias("arc"), F.coalesce(F.col("first") * 2, F.col("at") * 2 + 1).alias("next"))
+    leave = F.struct((F.col("at") * 2 + 1).alias("arc"), F.coalesce(F.col("sibling_at") * 2, F.col("parent_at") * 2 + 1, F.lit(-1)).alias("next"))
+    # Where uids are paths, a subtree's nodes lie together in this order; where they are not, more is left to random mates.
+    near = full.repartitionByRange(partitions, uid_path(F.col("uid")), "uid")
+    ranks = rank_lists(near.select(F.explode(F.array(enter, leave)).alias("a")).select("a.*"), local)
     size = broadcast_if_small(cut(ranks.groupBy("last").agg(F.count(F.lit(1)).alias("arcs"))))
     pos = ranks.join(size, "last").select(F.shiftright("arc", 1).alias("at"), F.shiftright("last", 1).alias("root"), (F.col("arcs") - 1 - F.col("rank")).alias("pos"))
     pos = pos.groupBy("at").agg(F.min("root").alias("root"), F.min("pos").alias("entry"), F.max("pos").alias("exit"))
@@ -318,8 +422,13 @@ def hierarchy(relations: DataFrame, kind: str = "contains", local_arcs: int = LO
     )
     euler = euler_forest(tree.select("id", "uid", "parent"), partitions, local_arcs)
     ranged = cut(euler.repartitionByRange(partitions, "root", "entry").withColumn("part", F.spark_partition_id()))
-    heads = ranged.groupBy("part").agg(F.min(F.struct("root", "entry")).alias("h")).select("part", F.col("h.root").alias("root"), F.col("h.entry").alias("head"))
-    halo = ranged.drop("part").join(F.broadcast(heads), "root").where((F.col("entry") < F.col("head")) & (F.col("exit") > F.col("head"))).drop("head").withColumn("halo", F.lit(True))
+    ends = ranged.groupBy("part").agg(F.min(F.struct("root", "entry")).alias("h"), F.max(F.struct("root", "entry")).alias("t"))
+    ends = cut(ends.select("part", F.col("h.root").alias("root"), F.col("h.entry").alias("head"), F.col("t.root").alias("last_root"), F.col("t.entry").alias("last_entry")))
+    # One row a range. A row is open beyond its own range only if it leaves after the range's last entry.
+    heads = ends.select("part", "root", "head").toPandas().sort_values(["root", "head"])
+    last = F.broadcast(ends.select("part", "last_root", "last_entry"))
+    over = ranged.join(last, "part").where((F.col("root") == F.col("last_root")) & (F.col("exit") > F.col("last_entry"))).select(*ranged.columns)
+    halo = over.mapInPandas(_spanned(heads), "id bigint, uid string, root bigint, entry bigint, exit bigint, part int").withColumn("halo", F.lit(True))
     swept = ranged.withColumn("halo", F.lit(False)).unionByName(halo).groupBy("part").applyInPandas(_sweep, "id bigint, uid string, entry bigint, exit bigint, depth int, path array<string>")
     flags = tree.select("id", "on_cycle", "n_parents")
     root_on = tree.where("on_cycle").select(F.col("uid").alias("root_uid"), F.lit(True).alias("root_on"))

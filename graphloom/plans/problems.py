@@ -81,9 +81,11 @@ node AS (
   SELECT n.uid, CASE WHEN c.uid IS NULL THEN u.parent END AS parent, coalesce(u.n_parents, 0) AS n_parents, c.uid IS NOT NULL AS on_cycle
   FROM (SELECT a AS uid FROM link UNION SELECT b FROM link) n LEFT JOIN up u ON n.uid = u.uid LEFT JOIN on_cycle c ON n.uid = c.uid),
 walk AS (
-  SELECT uid, uid AS root_uid, 0 AS depth, uid AS path, [uid] AS steps FROM node WHERE parent IS NULL
-  UNION ALL SELECT n.uid, w.root_uid, w.depth + 1, w.path || ' > ' || n.uid, list_append(w.steps, n.uid) FROM walk w JOIN node n ON n.parent = w.uid),
-pairs AS (SELECT s.x AS uid, w.uid AS descendant, w.depth - list_position(w.steps, s.x) + 1 AS distance FROM walk w, unnest(w.steps) AS s(x) WHERE s.x <> w.uid)"""
+  SELECT uid, uid AS root_uid, 0 AS depth, uid AS path FROM node WHERE parent IS NULL
+  UNION ALL SELECT n.uid, w.root_uid, w.depth + 1, w.path || ' > ' || n.uid FROM walk w JOIN node n ON n.parent = w.uid),
+followed AS (SELECT a, b FROM link WHERE b NOT IN (SELECT uid FROM on_cycle)),
+ways AS (SELECT a, b, 1 AS steps FROM followed UNION SELECT w.a, f.b, w.steps + 1 FROM ways w JOIN followed f ON w.b = f.a),
+pairs AS (SELECT a AS uid, b AS descendant, min(steps) AS distance FROM ways GROUP BY a, b)"""
 
 SQL = {
     "p2_found": f"""WITH {_RECORDS},

@@ -70,11 +70,29 @@ def test_distributed_components_equal_local_ones(spark):
     pairs = [("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("d", "e"), ("e", "d"), ("x", "x"), ("e", "f"), ("r", "a"), ("f", "g")]
     r = contains(spark, [("k:" + a, "k:" + b) for a, b in pairs])
     local = {(x["uid"], x["cycle_uid"]) for x in H.cycle_uids(r).collect()}
-    spread = {(x["uid"], x["cycle_uid"]) for x in H.cycle_uids(r, local=0).collect()}
-    assert local == spread
+    for most in (0, 3):
+        assert local == {(x["uid"], x["cycle_uid"]) for x in H.cycle_uids(r, local=most).collect()}
     assert {u for u, _ in local} == {"k:a", "k:b", "k:c", "k:d", "k:e", "k:x"}
 
 
+def test_long_chains_and_cycles_are_spliced(spark):
+    pairs = [(f"n:{i:04}", f"n:{i + 1:04}") for i in range(300)] + [(f"c:{i:03}", f"c:{(i + 1) % 90:03}") for i in range(90)] + [("c:005", "n:0100"), ("d:1", "d:2"), ("d:2", "d:1"), ("d:2", "c:000")]
+    r = contains(spark, pairs)
+    _, edges = H.encode(H.links(r))
+    core, n, spliced = H.peel(edges, 0)
+    assert len(spliced) < 40 and n == core.count() < 12
+    for local in (0, 20):
+        assert {x["uid"]: x["cycle_uid"] for x in H.cycle_uids(r, local=local).collect()} == {f"c:{i:03}": "c:000" for i in range(90)} | {"d:1": "d:1", "d:2": "d:1"}
+
+
+def test_stretches_of_a_range():
+    x, nxt = np.array([1, 2, 3, 7, 8, 9]), np.array([2, 7, 50, 8, 9, -1])
+    at, dist, first = H._chains(x, nxt)
+    assert x[at].tolist() == [8, 8, 3, 8, 8, 9] and dist.tolist() == [3, 2, 0, 1, 0, 0] and first.tolist() == [True, False, True, False, False, True]
+    got = pd.concat(H._contract(iter([pd.DataFrame({"arc": x, "next": nxt})]))).set_index("arc")
+    assert got["next"].tolist() == [9, 9, 50, 9, 9, -1] and got["dist"].tolist() == [4, 3, 1, 2, 1, 0] and got["stays"].tolist() == [True, False, True, False, False, True]
+
+
 def test_spellings_repeats_nulls_and_other_kinds(spark):
     rows = [edge("file:.\\a", "file:b", "contains", id=1), edge("file:b", "file:./a", "contains", id=2), edge(None, "file:b", "contains", id=3), edge("file:c", "file:c", "calls", id=4), edge("file:b", "file:./a", "contains", id=2)]
     assert {x["uid"] for x in H.cycle_uids(frame(spark, RELATIONS, rows)).collect()} == {"file:a", "file:b"}
