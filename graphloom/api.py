@@ -98,7 +98,7 @@ class Workspace:
         return R.orphans(self.graph.entities, self.graph.relations)
 
     def cycles(self) -> DataFrame:
-        return traverse.two_cycles(self.graph.relations)
+        return traverse.cycles(self.graph.relations)
 
     def export(self, root: str, form: str = "jsonl") -> DataFrame:
         if form == "jsonl":

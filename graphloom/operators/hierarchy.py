@@ -232,7 +232,12 @@ def cycle_nodes(edges: DataFrame, local: int = LOCAL_LINKS) -> DataFrame:
 
 def cycle_uids(relations: DataFrame, kind: str = "contains", local: int = LOCAL_LINKS) -> DataFrame:
     """uid, cycle_uid for every node on a cycle."""
-    nodes, edges = encode(cut(links(relations, kind)))
+    return cycle_members(links(relations, kind), local)
+
+
+def cycle_members(link: DataFrame, local: int = LOCAL_LINKS) -> DataFrame:
+    """cycle_uids of distinct links parent, child."""
+    nodes, edges = encode(cut(link))
     on = cut(cycle_nodes(edges, local))
     named = nodes.join(broadcast_if_small(on), "id")
     least = named.groupBy("cycle").agg(F.min("uid").alias("cycle_uid"))

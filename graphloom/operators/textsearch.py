@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from graphloom.operators.relational import neighbor_slice
 
 FIELDS = ["name", "signature", "description", "docstring"]
+#: What the index holds, beside the tags.
+INDEXED = ["name", "signature", "path", "description", "docstring"]
 K1, B = 1.2, 0.75
 
 
@@ -26,7 +28,7 @@ def tokens(text: Column) -> Column:
 
 def postings(entities: DataFrame) -> DataFrame:
     """uid, term, tf over the searchable fields and the tags."""
-    text = F.concat_ws(" ", *FIELDS, F.array_join("tags", " "))
+    text = F.concat_ws(" ", *INDEXED, F.array_join("tags", " "))
     return entities.select("uid", F.explode(tokens(text)).alias("term")).groupBy("uid", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 

@@ -15,27 +15,35 @@ import math
 import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom import schema
+from graphloom.operators import hierarchy
 from graphloom.operators.relational import edge_priority
 from graphloom.session import cut
 
 
+#: Fronts that are kept apart before they are written as one table.
+PARTS = 24
+
+
 def closure(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None) -> DataFrame:
     """uid, depth of what src -> dst reaches from the seeds (column uid), seeds at depth 0; without a depth, all of it."""
     e = cut(edges.select("src", "dst").distinct())
-    seen = cut(seeds.select("uid").distinct().withColumn("depth", F.lit(0)))
-    front = seen
+    front = cut(seeds.select("uid").distinct().withColumn("depth", F.lit(0)))
+    seen = [front]  # the fronts; a node is written once, and once more for every PARTS rounds
     for depth in itertools.count(1) if max_depth is None else range(1, max_depth + 1):
         step = front.select(F.col("uid").alias("src")).join(e, "src").select(F.col("dst").alias("uid")).distinct()
-        front = cut(step.join(seen, "uid", "left_anti").withColumn("depth", F.lit(depth)))
+        front = cut(step.join(reduce(DataFrame.unionByName, seen), "uid", "left_anti").withColumn("depth", F.lit(depth)))
         if front.isEmpty():
             break
-        seen = cut(seen.unionByName(front))
-    return seen
+        seen.append(front)
+        if len(seen) > PARTS:
+            seen = [cut(reduce(DataFrame.unionByName, seen))]
+    return reduce(DataFrame.unionByName, seen)
 
 
 def impact(relations: DataFrame, target: str, max_depth: int | None = None, kinds: list[str] = schema.IMPACT_KINDS) -> DataFrame:
@@ -48,8 +56,8 @@ def impact(relations: DataFrame, target: str, max_depth: int | None = None, kind
 def impact_summary(relations: DataFrame, entities: DataFrame, target: str, max_depth: int | None = None) -> DataFrame:
     """One row: direct, transitive, tests, public, files, confidence, risk.
 
-    Risk counts four reasons: a public target or dependent, tests among the dependents being absent, many direct
-    dependents, and dependents in more than one file. Three make it high, one or any dependent medium.
+    Risk counts four reasons: a public target or one that something exports, tests among the dependents, more than six
+    dependents, and a route among them. Three make it high, one or any dependent medium.
     """
     reached = cut(impact(relations, target, max_depth))
     known = reached.join(entities.select("uid", "kind", "path", "is_public"), "uid", "left")
@@ -61,42 +69,86 @@ def impact_summary(relations: DataFrame, entities: DataFrame, target: str, max_d
         F.count_if(F.col("kind") == "test").alias("tests"),
         F.count_if(F.col("is_public")).alias("public"),
         F.count_distinct("path").alias("files"),
+        F.count_if(F.col("kind") == "route").alias("routes"),
     ).crossJoin(confidence)
-    reasons = sum((F.when(c, 1).otherwise(0) for c in (F.col("public") > 0, F.col("tests") == 0, F.col("direct") >= 5, F.col("files") > 1)), F.lit(0))
-    risk = F.when(reasons >= 3, "high").when((reasons >= 1) | (F.col("direct") > 0), "medium").otherwise("low")
-    return s.withColumn("risk", risk)
+    shown = entities.where(F.col("uid") == target).agg(F.coalesce(F.max("is_public"), F.lit(False)).alias("shown"))
+    exported = direct.agg(F.count_if(F.col("kind") == "exports").alias("exported"))
+    s = s.crossJoin(shown).crossJoin(exported)  # one row each
+    wide = F.col("direct") + F.col("transitive")
+    reasons = sum((F.when(c, 1).otherwise(0) for c in (F.col("shown") | (F.col("exported") > 0), F.col("tests") > 0, wide > 6, F.col("routes") > 0)), F.lit(0))
+    risk = F.when(reasons >= 3, "high").when((reasons >= 1) | (wide > 0), "medium").otherwise("low")
+    return s.withColumn("risk", risk).drop("routes", "shown", "exported")
+
+
+def impact_within(
+    relations: DataFrame, target: str, max_depth: float = math.inf, max_nodes: float = math.inf, max_relations: float = math.inf, seconds: float = math.inf, kinds: list[str] = schema.IMPACT_KINDS, clock: Callable[[], float] = time.monotonic
+) -> tuple[DataFrame, str | None]:
+    """uid, depth of what depends on the target within limits, and the reason it stopped: timeout, maxRelations, maxNodes, maxDepth or None.
+
+    Nodes count with the target. Of the front that passes a limit the links that still fit are followed, least uid first.
+    """
+    deadline = clock() + seconds
+    e = cut(relations.where(F.col("kind").isin(kinds)).select(F.col("to_uid").alias("src"), F.col("from_uid").alias("dst")).distinct())
+    front = cut(relations.sparkSession.createDataFrame([(target, 0)], "uid string, depth int"))
+    seen, nodes, used, reason = [front], 1, 0, None
+    for depth in itertools.count(1):
+        step = front.select(F.col("uid").alias("src")).join(e, "src")
+        known = reduce(DataFrame.unionByName, seen).select("uid")
+        if clock() >= deadline or depth > max_depth:
+            more = clock() < deadline and step.join(known, step.dst == known.uid, "left_anti").isEmpty()
+            reason = None if more else "timeout" if clock() >= deadline else "maxDepth"
+            break
+        many = step.count() if max_relations < math.inf else 0
+        if used + many > max_relations:
+            reason = "maxRelations"
+            step = step.orderBy("src", "dst").limit(int(max_relations) - used)
+        used += many
+        new = cut(step.select(F.col("dst").alias("uid")).distinct().join(known, "uid", "left_anti").withColumn("depth", F.lit(depth)))
+        many = new.count()
+        if nodes + many > max_nodes:
+            reason = reason or "maxNodes"
+            new = cut(new.orderBy("uid").limit(int(max_nodes) - nodes))
+        nodes += many
+        seen.append(new)
+        front = new
+        if reason or not many:
+            break
+        if len(seen) > PARTS:
+            seen = [cut(reduce(DataFrame.unionByName, seen))]
+    return reduce(DataFrame.unionByName, seen).where("depth > 0"), reason
 
 
-def shortest_path(edges: DataFrame, start: str, goal: str, max_depth: int = 12) -> list[str]:
+def shortest_path(edges: DataFrame, start: str, goal: str, max_depth: int | None = None) -> list[str]:
     """The uids of a shortest path, the least by uid at each step back; empty if there is none."""
     e = cut(edges.select("src", "dst").distinct())
     spark = edges.sparkSession
-    seen = cut(spark.createDataFrame([(start, None, 0)], "uid string, parent string, depth int"))
-    front = seen
+    front = cut(spark.createDataFrame([(start, None, 0)], "uid string, parent string, depth int"))
+    fronts = [front]
     found = start == goal
-    for depth in range(1, max_depth + 1):
+    for depth in itertools.count(1) if max_depth is None else range(1, max_depth + 1):
         if found:
             break
+        seen = reduce(DataFrame.unionByName, fronts)
         step = front.select(F.col("uid").alias("src")).join(e, "src").groupBy(F.col("dst").alias("uid")).agg(F.min("src").alias("parent"))
         front = cut(step.join(seen, "uid", "left_anti").withColumn("depth", F.lit(depth)))
         if front.isEmpty():
             return []
         found = not front.where(F.col("uid") == goal).isEmpty()
-        seen = cut(seen.unionByName(front))
+        fronts.append(front)
     if not found:
         return []
     path = [goal]
-    while path[-1] != start:  # one lookup a step of a path of at most max_depth
-        path.append(seen.where(F.col("uid") == path[-1]).first()["parent"])
+    for front in fronts[:0:-1]:  # one lookup a step, in the front that holds it
+        path.append(front.where(F.col("uid") == path[-1]).first()["parent"])
     return path[::-1]
 
 
-def levels(edges: DataFrame, nodes: DataFrame, max_rounds: int = 64) -> DataFrame:
+def levels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """uid, level: the longest path of src -> dst up to a node; nodes on or behind a cycle have none."""
     e = cut(edges.select("src", "dst").where("src <> dst").distinct())
     left = cut(nodes.select("uid").distinct())
     done = None
-    for level in range(max_rounds):
+    for level in itertools.count():
         blocked = e.join(left.select(F.col("uid").alias("src")), "src", "left_semi").select(F.col("dst").alias("uid")).distinct()
         free = cut(left.join(blocked, "uid", "left_anti").withColumn("level", F.lit(level)))
         if free.isEmpty():
@@ -113,6 +165,12 @@ def two_cycles(relations: DataFrame) -> DataFrame:
     return a.join(b, ["uid_a", "uid_b"], "left_semi").where("uid_a < uid_b")
 
 
+def cycles(relations: DataFrame, kinds: list[str] = schema.TRAVERSAL_KINDS) -> DataFrame:
+    """uid, cycle_uid of every node on a cycle of any length over the kinds; nodes that reach each other share the least uid."""
+    link = relations.where(F.col("kind").isin(kinds)).select(F.col("from_uid").alias("parent"), F.col("to_uid").alias("child"))
+    return hierarchy.cycle_members(link.where("parent IS NOT NULL AND child IS NOT NULL").distinct())
+
+
 def reverse_dependents(file_deps: DataFrame, changed: DataFrame, depth: int = schema.INCREMENTAL_DEPTH, most: int = schema.INCREMENTAL_FILES) -> DataFrame:
     """path, depth of the files to do again after changes: at most `most`, nearest first, then by path."""
     edges = file_deps.select(F.col("to_path").alias("src"), F.col("from_path").alias("dst"))
@@ -162,7 +220,9 @@ def walk(entities: DataFrame, relations: DataFrame, start: str, budget: Budget,
             r.join(F.broadcast(ask.withColumnRenamed("uid", "to_uid")), "to_uid").select(F.col("to_uid").alias("uid"), F.struct("from_uid", "to_uid", "kind", "weight", "confidence", "priority").alias("e"))
         )
         order = F.struct((-F.col("e.priority")).alias("a"), F.col("e.from_uid").alias("b"), F.col("e.to_uid").alias("c"), F.col("e.kind").alias("d"))
-        best = both.groupBy("uid").agg(F.slice(F.array_sort(F.collect_set(F.struct(order.alias("o"), "e"))), 1, budget.edges + 1).alias("es"))
+        # The rank is limited before the rows move, so a hub never gathers more than the budget could take.
+        ranked = both.distinct().withColumn("n", F.row_number().over(Window.partitionBy("uid").orderBy(order))).where(F.col("n") <= budget.edges + 1)
+        best = ranked.groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("n", "e"))).alias("es"))
         rows = {x["uid"]: [e["e"].asDict() for e in x["es"]] for x in best.collect()}
         for u in uids:
             near.setdefault(u, rows.get(u, []))

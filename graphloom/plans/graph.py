@@ -109,7 +109,7 @@ def _pick(g: Graph) -> str:
 
 
 _PICK = f"pick AS (SELECT to_uid AS uid FROM rel WHERE kind IN ({_kinds(schema.IMPACT_KINDS)}) AND to_uid <> '{HUB}' GROUP BY to_uid ORDER BY count(*) DESC, to_uid LIMIT 1)"
-_IMPACT = f"seen AS (SELECT uid, 0 AS depth FROM pick UNION SELECT r.from_uid, s.depth + 1 FROM seen s JOIN rel r ON r.to_uid = s.uid WHERE s.depth < 6 AND r.kind IN ({_kinds(schema.IMPACT_KINDS)}))"
+_IMPACT = f"seen(uid, depth) USING KEY (uid) AS (SELECT uid, 0 FROM pick UNION SELECT r.from_uid, min(s.depth) + 1 FROM seen s JOIN rel r ON r.to_uid = s.uid LEFT JOIN recurring.seen k ON k.uid = r.from_uid WHERE k.uid IS NULL AND r.kind IN ({_kinds(schema.IMPACT_KINDS)}) GROUP BY r.from_uid)"
 
 
 @query("g07_impact", V.REL, _PICK, _IMPACT, sql="SELECT uid, min(depth)::INTEGER AS depth FROM seen GROUP BY uid HAVING min(depth) > 0", recursive=True)
@@ -120,9 +120,11 @@ def g07(g: Graph) -> DataFrame:
 @query(
     "g07_impact_summary", V.ENT, V.REL, _PICK, _IMPACT,
     "hit AS (SELECT s.uid, min(depth) AS depth FROM seen s GROUP BY s.uid HAVING min(depth) > 0)",
-    "tot AS (SELECT count(*) FILTER (depth = 1) AS direct, count(*) FILTER (depth > 1) AS transitive, count(*) FILTER (e.kind = 'test') AS tests, count(*) FILTER (e.is_public) AS public, count(DISTINCT e.path) AS files FROM hit LEFT JOIN ent e ON e.uid = hit.uid)",
+    "tot AS (SELECT count(*) FILTER (depth = 1) AS direct, count(*) FILTER (depth > 1) AS transitive, count(*) FILTER (e.kind = 'test') AS tests, count(*) FILTER (e.kind = 'route') AS routes, count(*) FILTER (e.is_public) AS public, count(DISTINCT e.path) AS files FROM hit LEFT JOIN ent e ON e.uid = hit.uid)",
     sql=f"""SELECT direct, transitive, tests, public, files, (SELECT round(coalesce(greatest(0.1, avg(confidence)), 0.4), 6) FROM rel WHERE to_uid = (SELECT uid FROM pick) AND kind IN ({_kinds(schema.IMPACT_KINDS)})) AS confidence,
-  CASE WHEN ((public > 0)::INT + (tests = 0)::INT + (direct >= 5)::INT + (files > 1)::INT) >= 3 THEN 'high' WHEN ((public > 0)::INT + (tests = 0)::INT + (direct >= 5)::INT + (files > 1)::INT) >= 1 OR direct > 0 THEN 'medium' ELSE 'low' END AS risk FROM tot""",
+  CASE WHEN reasons >= 3 THEN 'high' WHEN reasons >= 1 OR direct > 0 THEN 'medium' ELSE 'low' END AS risk
+FROM (SELECT *, (tests > 0)::INT + (direct + transitive > 6)::INT + (routes > 0)::INT
+  + (coalesce((SELECT max(is_public) FROM ent WHERE uid = (SELECT uid FROM pick)), false) OR EXISTS (SELECT 1 FROM rel WHERE to_uid = (SELECT uid FROM pick) AND kind = 'exports'))::INT AS reasons FROM tot)""",
     recursive=True,
 )
 def g07s(g: Graph) -> DataFrame:
@@ -147,6 +149,22 @@ def g11(g: Graph) -> DataFrame:
     return traverse.two_cycles(g.relations)
 
 
+@query("g11_cycles", V.REL, f"link AS (SELECT DISTINCT from_uid AS a, to_uid AS b FROM rel WHERE kind IN ({_kinds(['extends', 'implements', 'imports'])}))", "reach AS (SELECT a, b FROM link UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a)", sql="SELECT x.a AS uid, min(y.b) AS cycle_uid FROM reach x JOIN reach y ON x.a = y.a JOIN reach z ON z.a = y.b AND z.b = y.a WHERE x.a = x.b GROUP BY x.a", recursive=True)
+def g11c(g: Graph) -> DataFrame:
+    """Cycles of any length over links of inheritance and import."""
+    return traverse.cycles(g.relations, ["extends", "implements", "imports"])
+
+
+@query("g07_impact_limits", V.REL, _PICK, _IMPACT, "near AS (SELECT uid, depth FROM seen WHERE depth = 1)", sql="SELECT 'maxDepth' AS reason, count(*) AS n FROM near UNION ALL SELECT 'maxNodes', 9 UNION ALL SELECT 'none', count(*) FROM seen WHERE depth > 0", recursive=True)
+def g07l(g: Graph) -> DataFrame:
+    """What stops a walk of dependents: a depth of one, ten nodes with the target, nothing."""
+    out = []
+    for limits in ({"max_depth": 1}, {"max_nodes": 10}, {}):
+        rows, reason = traverse.impact_within(g.relations, _pick(g), **limits)
+        out.append(rows.agg(F.lit(reason or "none").alias("reason"), F.count(F.lit(1)).alias("n")))
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
 @query("g12_levels", V.REL, "link AS (SELECT DISTINCT from_uid, to_uid FROM rel WHERE kind IN ('extends', 'implements') AND from_uid < to_uid)", "node AS (SELECT from_uid AS uid FROM link UNION SELECT to_uid FROM link)", "up AS (SELECT uid, 0 AS level FROM node UNION SELECT l.to_uid, u.level + 1 FROM up u JOIN link l ON l.from_uid = u.uid)", sql="SELECT uid, max(level)::INTEGER AS level FROM up GROUP BY uid", recursive=True)
 def g12(g: Graph) -> DataFrame:
     """Levels of inheritance links that go upward by uid, which no cycle does."""
@@ -182,7 +200,7 @@ def g15(g: Graph) -> DataFrame:
 
 _SEARCH = r"lower(regexp_replace(regexp_replace({0}, '([a-z0-9])([A-Z])', '\1 \2', 'g'), '[^a-zA-Z0-9]+', ' ', 'g'))"
 _TOKENS = "list_filter(string_split_regex(trim(" + _SEARCH + "), '\\s+'), lambda t: t <> '')"
-_POST = f"post AS (SELECT uid, term, count(*) AS tf FROM (SELECT uid, unnest({_TOKENS.format("concat_ws(' ', name, signature, description, docstring, array_to_string(tags, ' '))")}) AS term FROM ent) GROUP BY ALL)"
+_POST = f"post AS (SELECT uid, term, count(*) AS tf FROM (SELECT uid, unnest({_TOKENS.format("concat_ws(' ', name, signature, path, description, docstring, array_to_string(tags, ' '))")}) AS term FROM ent) GROUP BY ALL)"
 
 
 @query("v02_tokens", V.ENT, sql=f"SELECT uid, array_to_string({_TOKENS.format('name')}, ' ') AS tokens FROM ent WHERE name IS NOT NULL")
@@ -299,7 +317,7 @@ _ISSUES = """issues AS (
   SELECT 'missing_file' AS kind, 'error' AS severity, f.path AS subject FROM files f LEFT JOIN present p ON p.path = f.path WHERE p.h IS NULL
   UNION ALL SELECT 'stale_hash', 'warning', f.path FROM files f JOIN present p ON p.path = f.path WHERE p.h <> f.r.content_hash
   UNION ALL SELECT 'dangling_relation', 'error', from_uid || ' ' || kind || ' ' || to_uid FROM rel WHERE from_uid NOT IN (SELECT uid FROM ent) OR to_uid NOT IN (SELECT uid FROM ent)
-  UNION ALL SELECT 'orphan_entity', 'warning', uid FROM ent WHERE kind NOT IN ('repository', 'directory', 'file') AND uid NOT IN (SELECT to_uid FROM rel WHERE kind <> 'contains')
+  UNION ALL SELECT 'orphan_entity', 'info', uid FROM ent WHERE kind NOT IN ('repository', 'directory', 'file') AND uid NOT IN (SELECT to_uid FROM rel WHERE kind <> 'contains')
   UNION ALL SELECT 'low_confidence', 'warning', from_uid || ' ' || kind || ' ' || to_uid FROM rel WHERE kind IN ('imports', 'depends_on', 'calls') AND confidence < 0.55
   UNION ALL SELECT 'unresolved_reference', 'warning', concat_ws(' ', path, symbol) FROM unres WHERE NOT coalesce(resolved, false))"""
 

@@ -131,10 +131,13 @@ def a18(g: Graph) -> DataFrame:
     return R.line_ranges(g.entities)
 
 
-@query("a19_coverage", V.ENT, sql="SELECT round(count(*) FILTER (docstring IS NOT NULL) / count(*), 6) AS coverage FROM ent WHERE kind IN ('function', 'method')")
+@query("a19_coverage", sql=f"""SELECT round(count(*) FILTER (NOT skipped) / count(*), 6) AS coverage FROM (
+  SELECT {V.sql_norm_path('path')} AS path, min((coalesce(content, '') = '' OR coalesce(size_bytes > 4096, false) OR language IS NULL)::INT)::BOOLEAN AS skipped FROM source_files WHERE path IS NOT NULL GROUP BY 1)""")
 def a19(g: Graph) -> DataFrame:
-    f = g.entities.where(F.col("kind").isin("function", "method"))
-    return f.agg(F.round(F.try_divide(F.count("docstring"), F.count(F.lit(1))), 6).alias("coverage"))
+    """Indexed files out of all, a file being skipped if each of its rows is, for the reasons of a15."""
+    skipped = (F.coalesce("content", F.lit("")) == "") | F.coalesce(F.col("size_bytes") > 4096, F.lit(False)) | F.col("language").isNull()
+    files = g.raw("source_files").where(F.col("path").isNotNull()).groupBy(V.normalize_path(F.col("path")).alias("path")).agg(F.min(skipped).alias("skipped"))
+    return files.agg(F.round(F.try_divide(F.count_if(~F.col("skipped")), F.count(F.lit(1))), 6).alias("coverage"))
 
 
 @query("a21_percentile", V.REL, sql="SELECT list_sort(list(confidence))[(floor(count(*) * 0.95))::BIGINT + 1] AS value FROM rel WHERE confidence IS NOT NULL")

@@ -25,7 +25,7 @@ RUN_ABANDONED_HOURS, CHECKPOINT_STALE_HOURS = 1, 24
 LSH_BITS, LSH_FAMILIES, LSH_RADIUS = 12, 4, 1
 INCREMENTAL_DEPTH, INCREMENTAL_FILES = 3, 256
 DEFAULT_NODES, DEFAULT_EDGES = 500, 1000
-SEVERITY = {"missing_file": "error", "dangling_relation": "error", "stale_hash": "warning", "orphan_entity": "warning", "unresolved_reference": "warning", "low_confidence": "warning", "binary_file": "warning", "invalid_utf8": "warning"}
+SEVERITY = {"missing_file": "error", "dangling_relation": "error", "stale_hash": "warning", "orphan_entity": "info", "unresolved_reference": "warning", "low_confidence": "warning", "binary_file": "warning", "invalid_utf8": "warning"}
 
 
 def sql_list(values: list[str]) -> str:

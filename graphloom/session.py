@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -21,6 +22,7 @@ def get_spark(app: str = "graphloom", cores: int | str = "*", **conf: str) -> Sp
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.shuffle.partitions": "8",
         "spark.ui.enabled": "false",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         "spark.driver.memory": "8g",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
     }
@@ -32,10 +34,12 @@ def get_spark(app: str = "graphloom", cores: int | str = "*", **conf: str) -> Sp
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a temporary one is set only where none is named."""
+    """The shared folder named by spark.checkpoint.dir; a local session without one gets a temporary one, a cluster is refused."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
         current = spark.sparkContext.getCheckpointDir()
+        if current is None and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         if current is None:
             current = "file://" + tempfile.mkdtemp(prefix="graphloom-")
             spark.sparkContext.setCheckpointDir(current)

@@ -260,7 +260,11 @@ def rust(path: str, text: str) -> Found:
 
 
 #: Constants of the language's core, which name no file of the application.
-RUBY_CORE = frozenset("String Integer Float Array Hash Symbol Time Date Struct Object".split())
+RUBY_CORE = frozenset("String Integer Array Hash Time Date JSON Object Class Module".split())
+
+
+#: Folders by the end of a constant's name; all others are models.
+RAILS_FOLDERS = {"Controller": "controllers", "Job": "jobs", "Mailer": "mailers"}
 
 
 def snake(name: str) -> str:
@@ -269,9 +273,9 @@ def snake(name: str) -> str:
 
 def rails_path(constant: str) -> str | None:
     """The conventional path of a Rails constant: Admin::UsersController -> app/controllers/admin/users_controller.rb."""
-    if constant in RUBY_CORE:
+    if not constant or constant in RUBY_CORE:
         return None
-    folder = next((f for tail, f in (("Controller", "controllers"), ("Job", "jobs"), ("Mailer", "mailers"), ("Helper", "helpers"), ("Service", "services"), ("Policy", "policies"), ("Serializer", "serializers")) if constant.endswith(tail)), "models")
+    folder = next((f for tail, f in RAILS_FOLDERS.items() if constant.endswith(tail)), "models")
     return f"app/{folder}/" + "/".join(snake(p) for p in constant.split("::")) + ".rb"
 
 

@@ -28,7 +28,23 @@ def test_impact(billing):
     s = traverse.impact_summary(r, e, CALC).first()
     assert (s["direct"], s["transitive"], s["tests"]) == (2, 1, 1) and abs(s["confidence"] - 0.95) < 1e-9
     nothing = traverse.impact_summary(r, e, ROUTE).first()
-    assert (nothing["direct"], nothing["confidence"]) == (0, 0.4)
+    assert (nothing["direct"], nothing["confidence"], nothing["risk"]) == (0, 0.4, "low")
+    assert s["risk"] == "medium"  # a test and a route
+    public = e.withColumn("is_public", F.col("uid") == CALC)
+    assert traverse.impact_summary(r, public, CALC).first()["risk"] == "high"
+
+
+def test_impact_limits_and_their_reasons(billing):
+    _, r = billing
+    for limits, n, reason in (({}, 3, None), ({"max_depth": 1}, 2, "maxDepth"), ({"max_depth": 2}, 3, None), ({"max_nodes": 2}, 1, "maxNodes"), ({"max_relations": 1}, 1, "maxRelations"), ({"seconds": 0}, 0, "timeout")):
+        rows, why = traverse.impact_within(r, CALC, **limits)
+        assert (rows.count(), why) == (n, reason), limits
+
+
+def test_cycles_of_any_length(spark):
+    u = [f"file:{c}" for c in "abcdef"]
+    _, r = small(spark, u, [edge(u[0], u[1], "imports"), edge(u[1], u[2], "calls"), edge(u[2], u[0], "imports"), edge(u[2], u[3], "imports"), edge(u[4], u[5], "uses"), edge(u[5], u[4], "contains")])
+    assert {(x["uid"], x["cycle_uid"]) for x in traverse.cycles(r).collect()} == {(x, u[0]) for x in u[:3]}
 
 
 def test_impact_has_no_depth_of_its_own(spark):
@@ -160,7 +176,7 @@ def test_validation_and_repair(spark):
     now = spark.createDataFrame([("a.ts", "h9")], "path string, content_hash string")
     found = validate.issues(e, r, u, hashes, now)
     assert sorted(x["kind"] for x in found.collect()) == sorted(["missing_file", "stale_hash", "dangling_relation", "orphan_entity", "low_confidence", "unresolved_reference"])
-    assert tuple(validate.summary(found).first()) == (6, 2, 4, 0)
+    assert tuple(validate.summary(found).first()) == (6, 2, 3, 1)
     plan = validate.repair_plan(found)
     assert {x["status"] for x in plan.where("kind in ('orphan_entity', 'low_confidence')").collect()} == {"skipped"}
     after = validate.apply_repairs(plan, e, r, u, hashes)
