@@ -2,6 +2,7 @@ import pytest
 from helpers import FILES, RUNS, day, frame
 from pyspark.sql import functions as F
 
+from graphloom.operators import incremental
 from graphloom.operators.incremental import ChangeFeed
 from graphloom.session import shared_path
 
@@ -70,3 +71,39 @@ def test_empty_tables_and_extra_columns(spark):
     more = frame(spark, FILES, ROWS).withColumn("state", F.lit("x")).withColumn("epoch", F.lit(3))
     feed.advance(more, log(spark, STATUS).withColumn("path", F.lit("p")))
     assert [c for c in changes(feed) if c[0] == "c"] == [c for c in WANT if c[0] == "c"]
+
+
+def times(spark, rows):
+    return frame(spark, RUNS, [{"run_id": i, "status": s, "started_at": at} for i, s, at in rows])
+
+
+def test_an_open_run_holds_the_limit_and_is_not_skipped(spark):
+    feed = ChangeFeed(spark, shared_path(spark, "feed"))
+    t = day(9)
+    files = [obs("a", "a1", 1, 4), obs("a", "a2", 3, 6)]
+    feed.advance(frame(spark, FILES, files), times(spark, [(4, "completed", t), (5, "running", t), (6, "completed", t)]))
+    assert feed.watermark() == 4 and changes(feed) == [("a", 4, "a1")]
+    files += [obs("a", "a15", 2, 5), obs("b", "b1", 2, 5)]  # delivered after run 6 had ended
+    feed.advance(frame(spark, FILES, files), times(spark, [(4, "completed", t), (5, "completed", t), (6, "completed", t)]))
+    assert changes(feed) == [("a", 4, "a1"), ("a", 5, "a15"), ("a", 6, "a2"), ("b", 5, "b1")]
+
+
+def test_an_abandoned_run_is_read_again(spark):
+    feed = ChangeFeed(spark, shared_path(spark, "feed"))
+    files = [obs("a", "a1", 1, 4), obs("b", "b0", 1, 5)]
+    entries = [(4, "completed", day(7)), (5, "running", day(8)), (6, "completed", day(9))]
+    feed.advance(frame(spark, FILES, files), times(spark, entries))
+    assert feed.watermark() == 6 and feed.commits()[-1].late == [5] and changes(feed) == [("a", 4, "a1"), ("b", 6, "b0")]
+    files += [obs("c", "c1", 2, 5), obs("a", "a7", 3, 7)]
+    entries = [*entries[:1], (5, "failed", day(8)), entries[2], (7, "completed", day(10))]
+    feed.advance(frame(spark, FILES, files), times(spark, entries))
+    assert changes(feed) == [("a", 4, "a1"), ("a", 7, "a7"), ("b", 6, "b0"), ("c", 7, "c1")] and feed.commits()[-1].late == []
+
+
+def test_state_is_compacted(spark, monkeypatch):
+    monkeypatch.setattr(incremental, "COMPACT", 2)
+    feed = ChangeFeed(spark, shared_path(spark, "feed"))
+    for s in (1, 3, 4, 5):
+        feed.advance(frame(spark, FILES, ROWS), log(spark, STATUS), upper=s)
+    assert [c.whole for c in feed.commits()] == [False, True, False, True] and changes(feed) == WANT
+    assert {r["path"]: r["state"]["hash"] for r in feed.state().collect()} == {"a": "a2", "b": "bb", "c": "cc"}
