@@ -91,6 +91,7 @@ _HEADS = {
     "ts": re.compile(
         rf"^(?P<indent>[ \t]*)(?:(?:export|default|async|declare)[ \t]+)*(?:function[ \t]*\*?[ \t]*(?P<a>[\w$]+)[ \t]*[<(]"
         rf"|(?:const|let|var)[ \t]+(?P<b>[\w$]+)[ \t]*(?::[^=\n]+)?=[ \t]*(?:async[ \t]*)?(?:function\b|<[^\n>]*>[ \t]*\(|\([^\n]*=>|[\w$]+[ \t]*=>|\([^\n]*$)"
+        rf"|(?:(?:public|private|protected|static|readonly|override|declare)[ \t]+)*(?P<d>\#?[\w$]+)[ \t]*[!?]?[ \t]*(?::[^=\n]+)?=(?![=>])[ \t]*(?:async[ \t]*)?(?:function\b|<[^\n>]*>[ \t]*\(|\([^\n]*=>|[\w$]+[ \t]*=>|\([^\n]*$)"
         rf"|(?:(?:public|private|protected|static|abstract|readonly|override|async|get|set)[ \t]+)*\*?[ \t]*(?P<c>(?!(?:{_TS_NOT})\b)\#?[\w$]+)[ \t]*\??[ \t]*(?:<[^\n(]*>)?\()",
         re.MULTILINE,
     ),
@@ -255,7 +256,7 @@ def _above(ext: str, text: str, masked: str, comments: list[tuple[int, int]], st
 def _annotation(ext: str, masked: str, end: int) -> int | None:
     """The line start of an annotation over several lines that ends at `end`."""
     depth = 0
-    for i in range(end - 1, max(-1, end - 4000), -1):
+    for i in range(end - 1, -1, -1):
         c = masked[i]
         if c in _SHUT:
             depth += 1
@@ -269,16 +270,25 @@ def _annotation(ext: str, masked: str, end: int) -> int | None:
     return None
 
 
-_DOCSTRING = re.compile(r"(?:[ \t]*(?:#[^\n]*)?\n)*[ \t]*(?P<prefix>[rRuU]?)(?P<q>'''|\"\"\"|'|\")")
+_DOCSTRING = re.compile(r"(?:[ \t]*(?:#[^\n]*)?\n)*[ \t]*(?P<paren>(?:\([ \t\n]*)*)(?=[rRuU]?['\"])")
+_STRING = re.compile(r"(?P<prefix>[rRuU]?)(?:\"\"\"(?P<a>(?:\\.|[^\\])*?)\"\"\"|'''(?P<b>(?:\\.|[^\\])*?)'''|\"(?P<c>(?:\\.|[^\\\"\n])*)\"|'(?P<d>(?:\\.|[^\\'\n])*)')", re.DOTALL)
+_BETWEEN = re.compile(r"(?:[ \t]|\\\n)*"), re.compile(r"(?:[ \t\n]|\\\n|#[^\n]*)*")
+_AFTER = re.compile(r"[ \t]*(?:#[^\n]*)?(?=\n|;|\Z)")
 
 
 def _docstring(text: str, at: int) -> str | None:
+    """The strings, laid end to end, of which the first statement consists."""
     m = _DOCSTRING.match(text, at)
     if not m:
         return None
-    q = m["q"]
-    s = re.compile(rf"((?:\\.|(?!{q})[^\\{'' if len(q) == 3 else chr(10)}])*){q}[ \t]*(?:#[^\n]*)?(?=\n|;|\Z|{q[0]}|\\)", re.DOTALL).match(text, m.end())
-    return s[1] if s else None
+    at, parts, open_ = m.end(), [], m["paren"].count("(")
+    while s := _STRING.match(text, at):
+        parts.append(next(s[g] for g in "abcd" if s[g] is not None))
+        at = _BETWEEN[open_ > 0].match(text, s.end()).end()
+    while open_ and text[at : at + 1] == ")":
+        open_ -= 1
+        at = _BETWEEN[open_ > 0].match(text, at + 1).end()
+    return "".join(parts) if parts and not open_ and _AFTER.match(text, at) else None
 
 
 # ------------------------------------------------------------------ triviality
@@ -363,9 +373,10 @@ def functions(ext: str, text: str) -> list[tuple[str, str, int, int, str, str, s
     out = []
     for m in _HEADS[ext].finditer(masked):
         groups = m.groupdict()
-        name = groups.get("name") or groups.get("a") or groups.get("b") or groups.get("c")
+        field = groups.get("b") or groups.get("d")
+        name = groups.get("name") or groups.get("a") or field or groups.get("c")
         start = m.start()
-        header, has_body = _header_end(ext, masked, m.end("name") if "name" in groups else m.end() - 1 if groups["b"] is None else m.end("b"))
+        header, has_body = _header_end(ext, masked, m.end("name") if "name" in groups else m.end() - 1 if field is None else m.end("b" if groups["b"] else "d"))
         if ext == "ts" and groups["c"] and not has_body and "abstract" not in m[0]:
             continue  # a call
         width = len(re.compile(r"[ \t]*").match(text, start)[0].expandtabs(8))  # of the text: a comment may stand before the signature
@@ -383,21 +394,29 @@ def functions(ext: str, text: str) -> list[tuple[str, str, int, int, str, str, s
 
 
 _FOUND = {"path": pa.string(), "name": pa.string(), "qualified": pa.string(), "line": pa.int32(), "last_line": pa.int32(), "signature": pa.string(), "code": pa.string(), "documentation": pa.string(), "informative": pa.bool_()}
-_DDL = "path string, name string, qualified string, line int, last_line int, signature string, code string, documentation string, informative boolean"
+_KEYS = ["path", "name", "qualified", "line", "informative"]
+_KINDS = {pa.string(): "string", pa.int32(): "int", pa.bool_(): "boolean"}
 
 
-def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = []
-        for path, ext, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            rows += [(path, *f, says_more(f[6], f[0])) for f in functions(ext, text)]
-        cols = list(zip(*rows, strict=True)) if rows else [()] * len(_FOUND)
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, _FOUND.values(), strict=True)], list(_FOUND))
+def _extract(columns: list[str]):
+    places = [list(_FOUND).index(c) for c in columns]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for path, ext, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                rows += [(path, *f, says_more(f[6], f[0])) for f in functions(ext, text)]
+            cols = [[r[i] for r in rows] for i in places]
+            yield pa.RecordBatch.from_arrays([pa.array(c, _FOUND[n]) for c, n in zip(cols, columns, strict=True)], columns)
 
-def extracted(source_files: DataFrame) -> DataFrame:
-    """Every function of the files, with its documentation and whether that is informative."""
-    return files(source_files).select("path", "ext", "content").mapInArrow(_extract, _DDL).distinct()
+    return run
+
+
+def extracted(source_files: DataFrame, bodies: bool = True) -> DataFrame:
+    """Every function of the files, with its documentation and whether that is informative; without bodies only the keys and that."""
+    columns = list(_FOUND) if bodies else _KEYS
+    ddl = ", ".join(f"{c} {_KINDS[_FOUND[c]]}" for c in columns)
+    return files(source_files).select("path", "ext", "content").mapInArrow(_extract(columns), ddl).distinct()
 
 
 def function_entities(entities: DataFrame) -> DataFrame:
@@ -413,19 +432,20 @@ def function_entities(entities: DataFrame) -> DataFrame:
     )
 
 
-def documented(source_files: DataFrame, entities: DataFrame) -> DataFrame:
-    """uid, path, signature, code, documentation of the functions with informative documentation."""
-    code = extracted(source_files)
+def documented(source_files: DataFrame, entities: DataFrame, bodies: bool = True) -> DataFrame:
+    """uid, path, signature, code, documentation of the functions with informative documentation; without bodies uid and path."""
+    code = extracted(source_files, bodies)
     want = function_entities(entities)
     same_line = F.coalesce(F.col("start_line") == F.col("line"), F.lit(False))
     same_name = F.col("symbol").eqNullSafe(F.col("qualified"))
     fit = F.struct(same_line.alias("a"), same_name.alias("b"), (-F.col("line")).alias("c"))
-    pick = F.struct("path", "signature", "code", "documentation", "informative")
+    texts = ["signature", "code", "documentation"] if bodies else []
+    pick = F.struct("path", *texts, "informative")
     return (
         want.join(code, ["path", "name"])
         .where(same_line | same_name)
         .groupBy("uid")
         .agg(F.max_by(pick, fit).alias("f"))
         .where("f.informative")
-        .select("uid", "f.path", "f.signature", "f.code", "f.documentation")
+        .select("uid", "f.path", *[f"f.{t}" for t in texts])
     )

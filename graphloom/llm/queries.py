@@ -34,7 +34,7 @@ def p5_neighbors(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return docpairs.documented(table(spark, d, "source_files"), table(spark, d, "entities")).select("uid")
+    return docpairs.documented(table(spark, d, "source_files"), table(spark, d, "entities"), bodies=False).select("uid")
 
 
 def p6_pairs(spark: SparkSession, d: str) -> DataFrame:

@@ -1,3 +1,5 @@
+import ast
+
 import pytest
 from helpers import ENTITIES, SOURCES, day, entity, frame
 from pyspark.sql import functions as F
@@ -168,3 +170,22 @@ def test_operator(spark):
     assert set(got) == {"method:r/a.py#A.one", "function:r/a.py#four", "method:r/b.rb#A.one"}
     assert got["method:r/a.py#A.one"]["documentation"] == "Waits for the peer." and got["method:r/a.py#A.one"]["code"].rstrip().endswith("return rows")
     assert D.documented(s.limit(0), e).count() == 0 and D.documented(s, e.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("body", "doc"),
+    [
+        ("'a' 'Joins the pieces'", "aJoins the pieces"), ("('Sums up'\n        ' all rows')", "Sums up all rows"), ("'Reads' \\\n    ' on'  # why", "Reads on"), ("'x'.strip()", None), ("'a' + 'b'", None), ("f'{a}'", None), ("('a', 'b')", None),
+        ('r"""Raw d"""', "Raw d"), ("'''a'b''' \"c\"", "a'bc"),
+    ],
+)
+def test_docstrings_of_several_strings(body, doc):
+    text = f"def f(a):\n    {body}\n    return 1\n"
+    assert ast.get_docstring(ast.parse(text).body[0], clean=False) == doc
+    assert D.functions("py", text)[0][6] == doc
+
+
+def test_fields_that_hold_functions():
+    text = "class A {\n  /** Adds one to the total. */\n  private add = async (x: number): Promise<number> => {\n    return x + 1\n  }\n  /** Picks. */\n  static pick = x => x.y\n  count = 3\n}\n"
+    got = {f[0]: (f[1], f[6]) for f in D.functions("ts", text)}
+    assert got["add"] == ("A.add", "Adds one to the total.") and got["pick"] == ("A.pick", "Picks.") and "count" not in got
