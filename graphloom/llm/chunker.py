@@ -1,23 +1,26 @@
 """Splitting oversized texts at natural boundaries (problem 9).
 
-Method. A text is handled in ranges of characters. A range ends at a natural boundary that is
-also a certain pretoken boundary, and each range carries a halo, the end of the range before,
-from which its first piece takes its overlap; so ranges are cut into pieces independently of
-one another. A worker finds the boundaries of its range (paragraph, line, sentence, pretoken),
-their positions and their token sums, and emits pieces by offset. The ranges' tables (pieces
-and tokens in each) are stitched per text by a prefix sum, which numbers the pieces and shifts
-the offsets. Texts of one range need no stitching and never leave their task.
+Method. A text is handled in ranges of bytes, which are taken out of it before any worker sees
+it, each with the bytes before it as a halo. A worker looks for the last natural boundary in the
+half range before each nominal place that is also a certain pretoken boundary; these tables of
+boundaries are stitched per text, so that every range runs from one boundary to the next. A
+range's first piece takes its overlap from the halo, so ranges are cut into pieces
+independently of one another: a worker finds the boundaries inside (paragraph, line, sentence,
+pretoken), their positions and their token sums, and emits pieces by offset. Prefix sums over
+the ranges' lengths, tokens and pieces shift the offsets and number the pieces. Texts of one
+range need no stitching and never leave their task.
 
 A piece holds at most `limit` tokens when encoded by itself. It ends at the last paragraph end
 in its second half, else the last line end there, else sentence end; failing these at any such
 end in its first half past the overlap, then at a pretoken, and inside an unbroken run at a
 token that ends a character. The next piece starts 32 to 64 tokens earlier.
 
-Why it holds at size: no shuffle for texts of one range; longer ones are spread by range, so a
-giant text is many tasks, and only one row for each range meets in the prefix sum.
+Why it holds at size: no shuffle for texts of one range; longer ones are spread by range over a
+given number of tasks, so a giant text is many tasks of which none holds it, and only one row
+for each range meets in the stitching.
 
 Cases. Null, empty and short texts (up to `limit` tokens) give no pieces. A row that occurs
-twice gives its pieces twice. An unbroken run longer than four ranges is cut at a fixed length,
+twice gives its pieces twice. An unbroken run of more than JOINED ranges is cut at a fixed place,
 so its token total can differ from that of the whole run by the few tokens at the cut. Columns
 other than the two named are not read. An empty table gives no rows.
 """
@@ -37,8 +40,10 @@ from graphloom.llm.scan import SPACE, classes, points, slabs
 from graphloom.session import cut
 
 LIMIT, OVERLAP = 512, (32, 64)
-#: Characters of a range, and of the halo before it.
+#: Bytes of a range; characters of the halo before it, of at most four bytes each.
 RANGE, HALO = 1 << 15, 1 << 12
+#: Ranges without any boundary that are handled as one.
+JOINED = 4
 #: An unbroken pretoken is divided into units of at most so many tokens.
 UNIT = 16
 
@@ -46,24 +51,24 @@ UNIT = 16
 ENDS, WIDE_ENDS, CLOSERS = ".!?…", "。！？", "\"')]}»”’"
 
 
-def range_ends(text: str, size: int = RANGE) -> list[int]:
-    """Ends of the ranges of a text; every end but a forced one is a boundary between pretokens."""
-    ends, at = [], 0
-    while len(text) - at > size:
-        low, high = at + size // 2, at + size
-        end = 0
-        for pattern in (r"(?r)\n[^\S\n]*\n(?=\S)", r"(?r)\n(?=\S)", r"(?r)[.!?。！？](?=\s)", r"(?r)\S(?=\s)"):
-            if m := regex.compile(pattern).search(text, low, high):
-                end = m.end()
-                break
-        if not end:
-            m = regex.compile(r"\S(?=\s)").search(text, high, at + 4 * size)
-            end = m.end() if m else min(len(text), at + 4 * size)
-        ends.append(end)
-        at = end
-    if at < len(text) or not ends:
-        ends.append(len(text))
-    return ends
+_BREAKS = [regex.compile(p) for p in (r"(?r)\n[^\S\n]*\n(?=\S)", r"(?r)\n(?=\S)", r"(?r)[.!?。！？](?=\s)", r"(?r)\S(?=\s)")]
+
+
+def aligned(body: bytes, at: int) -> int:
+    """The first place from `at` on at which a character starts."""
+    while at < len(body) and body[at] & 0xC0 == 0x80:
+        at += 1
+    return at
+
+
+def last_break(body: bytes) -> int | None:
+    """The last boundary between pretokens in a stretch of text, of the most natural kind there is; None if there is none."""
+    low = aligned(body, 0)
+    text = body[low:].decode("utf-8", "surrogateescape")
+    for p in _BREAKS:
+        if m := p.search(text):
+            return low + len(text[: m.end()].encode("utf-8", "surrogateescape"))
+    return None
 
 
 def own_tokens(bpe: Bpe, text: str, after: str) -> int:
@@ -215,42 +220,78 @@ def split_oversized(documents: DataFrame, path: str = DEFAULT_VOCABULARY, limit:
                         rows += [(doc, i, a, b, n, o, total, text[a:b]) for i, (a, b, n, o) in enumerate(pieces(bpe, text, 0, limit, overlap, tuple(known)))]
                 yield _batch(rows, _OUT)
 
-    def cut_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    single = docs.where(F.octet_length("text") <= size).mapInArrow(whole, _ddl(_OUT))
+    long_ = docs.where(F.octet_length("text") > size)
+    return single.unionByName(_over_ranges(long_, body, limit, overlap, size))
+
+
+def _over_ranges(docs: DataFrame, body, limit: int, overlap: tuple[int, int], size: int) -> DataFrame:
+    """split_oversized for texts of several ranges."""
+    spark = docs.sparkSession
+    back, tail = size // 2 + 4 * HALO, 4
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    raw = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.col("text").cast("binary").alias("raw"))
+    part = raw.select("row", "doc_id", "raw", F.explode(F.sequence(F.lit(0), F.expr(f"(octet_length(raw) - 1) div {size}"))).alias("no"))
+    begin = F.greatest(F.lit(0), F.col("no") * size - back)
+    # Offsets count bytes; begin is where the halo starts, and a few bytes more show the character behind.
+    part = part.select("row", "doc_id", F.col("no").cast("int").alias("no"), begin.cast("int").alias("begin"), F.substring("raw", begin + 1, (F.col("no") + 1) * size + tail - begin).alias("raw"))
+    # A number is given: ranges are small in bytes and long in work.
+    ranges = cut(part.repartition(tasks, "row", "no"))
+
+    def breaks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row, doc, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                ends = range_ends(text, size)
-                for i, (a, b) in enumerate(zip([0, *ends], ends, strict=False)):
-                    yield _batch([(row, doc, i, a, min(a, HALO), text[max(0, a - HALO) : b], text[b : b + 1])], _RANGES)
-
-    def in_range(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            rows = []
+            for row, no, at, raw_ in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                place = no * size - at
+                found = last_break(raw_[max(0, place - size // 2) : place])
+                rows.append((row, no, 0 if no == 0 else None if found is None else at + max(0, place - size // 2) + found, at + aligned(raw_, place)))
+            yield _batch(rows, _BREAK_ROWS)
+
+    table = cut(ranges.select("row", "no", "begin", "raw").mapInArrow(breaks, _ddl(_BREAK_ROWS)))
+    w = Window.partitionBy("row").orderBy("no")
+    known = table.withColumn("run", F.count("at").over(w))
+    # Every JOINED-th place without a boundary is cut where it is.
+    nth = F.row_number().over(Window.partitionBy("row", "run").orderBy("no")) - 1
+    start = F.coalesce("at", F.when(nth % JOINED == 0, F.col("forced")))
+    known = known.withColumn("start", start).select("row", "no", "start")
+    known = known.withColumn("range_no", (F.count("start").over(w) - 1).cast("int"))
+    heads = known.where("start IS NOT NULL").select("row", "range_no", "start", F.lead("start").over(Window.partitionBy("row").orderBy("range_no")).alias("stop"))
+    placed = known.select("row", "no", "range_no").join(heads, ["row", "range_no"])
+    grouped = ranges.join(placed, ["row", "no"]).repartition(tasks, "row", "range_no").groupBy("row", "range_no")
+
+    def in_range(group: pa.Table) -> pa.Table:
         bpe = loaded(body.value)
-        for batch in batches:
-            for row, doc, no, start, halo, text, after in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
-                total = own_tokens(bpe, text[halo:], after)
-                shift = start - halo
-                yield _batch([(row, doc, no, i, a + shift, b + shift, n, o, total, text[a:b]) for i, (a, b, n, o) in enumerate(pieces(bpe, text, halo, limit, overlap))], _PARTS)
-
-    single = docs.where(F.length("text") <= size).mapInArrow(whole, _ddl(_OUT))
-    long_ = docs.where(F.length("text") > size).select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
-    ranges = cut(long_.mapInArrow(cut_ranges, _ddl(_RANGES)))
-    parts = cut(ranges.repartition("row", "range_no").mapInArrow(in_range, _ddl(_PARTS)))
-    table = parts.groupBy("row", "range_no").agg(F.count(F.lit(1)).alias("n"), F.first("range_tokens").alias("tokens"))
+        group = group.sort_by("no")
+        row, doc, no, start, stop = (group[c][0].as_py() for c in ("row", "doc_id", "range_no", "start", "stop"))
+        begin_, joined = group["begin"][0].as_py(), bytearray()
+        for at, raw_ in zip(group["begin"].to_pylist(), group["raw"].to_pylist(), strict=True):
+            joined[at - begin_ :] = raw_
+        stop = begin_ + len(joined) if stop is None else stop
+        low, mid, end = aligned(joined, 0), start - begin_, stop - begin_
+        halo = joined[low:mid].decode("utf-8", "replace")[-HALO:]
+        core, after = joined[mid:end].decode("utf-8", "replace"), joined[end : end + tail].decode("utf-8", "ignore")[:1]
+        total, h = own_tokens(bpe, core, after), len(halo)
+        rows = [(row, doc, no, i, a - h, b - h, n, o, total, len(core), (halo + core)[a:b]) for i, (a, b, n, o) in enumerate(pieces(bpe, halo + core, h, limit, overlap))] if core else []
+        return pa.Table.from_batches([_batch(rows, _PARTS)])
+
+    parts = cut(grouped.applyInArrow(in_range, _ddl(_PARTS)))
+    sums = parts.groupBy("row", "range_no").agg(F.count(F.lit(1)).alias("n"), F.first("range_tokens").alias("tokens"), F.first("range_chars").alias("chars"))
     w = Window.partitionBy("row").orderBy("range_no")
-    stitched = table.select(
+    stitched = sums.select(
         "row",
         "range_no",
         (F.sum("n").over(w) - F.col("n")).cast("int").alias("before"),
+        (F.sum("chars").over(w) - F.col("chars")).alias("shift"),
         F.sum("tokens").over(Window.partitionBy("row")).cast("long").alias("doc_tokens"),
     ).where(F.col("doc_tokens") > limit)
-    multi = parts.join(stitched, ["row", "range_no"]).select(
-        "doc_id", (F.col("piece_no") + F.col("before")).cast("int").alias("piece_no"), "char_start", "char_end", "n_tokens", "overlap_tokens", "doc_tokens", "text"
-    )
-    return single.unionByName(multi)
+    out = parts.join(stitched, ["row", "range_no"])
+    place = [(F.col("piece_no") + F.col("before")).cast("int").alias("piece_no"), *((F.col(c) + F.col("shift")).alias(c) for c in ("char_start", "char_end"))]
+    return out.select("doc_id", *place, "n_tokens", "overlap_tokens", "doc_tokens", "text")
 
 
 _OUT = {"doc_id": "bigint", "piece_no": "int", "char_start": "bigint", "char_end": "bigint", "n_tokens": "int", "overlap_tokens": "int", "doc_tokens": "bigint", "text": "string"}
-_RANGES = {"row": "bigint", "doc_id": "bigint", "range_no": "int", "start": "bigint", "halo": "int", "text": "string", "after": "string"}
-_PARTS = {"row": "bigint", "doc_id": "bigint", "range_no": "int", "piece_no": "int", "char_start": "bigint", "char_end": "bigint", "n_tokens": "int", "overlap_tokens": "int", "range_tokens": "bigint", "text": "string"}
+_BREAK_ROWS = {"row": "bigint", "no": "int", "at": "bigint", "forced": "bigint"}
+_PARTS = {"row": "bigint", "doc_id": "bigint", "range_no": "int", "piece_no": "int", "char_start": "bigint", "char_end": "bigint", "n_tokens": "int", "overlap_tokens": "int", "range_tokens": "bigint", "range_chars": "bigint", "text": "string"}
 _ARROW = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
 
 

@@ -47,17 +47,29 @@ def test_pieces_end_at_paragraphs():
     assert all(only[b - 1] == "." for _, b, _, _ in chunker.pieces(BPE, only)[:-1])
 
 
-def test_ranges_cut_at_certain_boundaries_and_keep_the_count():
-    for text in (prose(5, 900), "x" * 50_000 + " end", prose(6, 50) * 30):
-        ends = chunker.range_ends(text, 4000)
-        starts = [0, *ends[:-1]]
-        assert ends[-1] == len(text) and all(a < b for a, b in zip(starts, ends, strict=True))
-        parts = [(a, b) for a, b in zip(starts, ends, strict=True)]
-        if "xxxx" not in text:
-            assert sum(chunker.own_tokens(BPE, text[a:b], text[b : b + 1]) for a, b in parts) == total(text)
-        for a, b in parts:
-            h = min(a, chunker.HALO)
-            check(text[a - h : b], chunker.pieces(BPE, text[a - h : b], h), h)
+def test_breaks_are_certain_boundaries():
+    for text in (prose(5, 900), prose(6, 50) * 30):
+        raw = text.encode()
+        for at in range(1500, len(raw), 997):
+            found = chunker.last_break(raw[at - 1000 : at])
+            cut = len(raw[: at - 1000 + found].decode())
+            assert chunker.own_tokens(BPE, text[:cut], text[cut : cut + 1]) + total(text[cut:]) == total(text)
+    assert chunker.last_break(("é" * 500).encode()[1:]) is None
+
+
+def test_long_texts_of_all_kinds(spark):
+    texts = {1: prose(7, 800), 2: "x" * 9000 + " end. " + prose(8, 100), 3: "漢字かな。" * 3000, 4: "🙂" * 5000, 5: prose(9, 60) + "y" * 70_000 + "\n" + prose(10, 60), 6: " " * 30_000, 7: "é" * 2100}
+    got = chunker.split_oversized(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), size=4000).collect()
+    for doc, text in texts.items():
+        mine = sorted((r["piece_no"], r["char_start"], r["char_end"], r["n_tokens"], r["text"], r["doc_tokens"]) for r in got if r["doc_id"] == doc)
+        if total(text) <= 512:
+            assert not mine
+            continue
+        assert [x[0] for x in mine] == list(range(len(mine))) and mine[0][1] == 0 and mine[-1][2] == len(text)
+        assert all(x[4] == text[x[1] : x[2]] and x[3] <= 512 and x[3] == len(BPE.encode_batch([x[4]])[0]) for x in mine)
+        assert all(x[1] < y[1] < x[2] < y[2] for x, y in zip(mine, mine[1:], strict=False))
+        if doc in (1, 2, 7):  # the others hold unbroken runs of more than JOINED ranges
+            assert mine[0][5] == total(text)
 
 
 def test_operator_stitches_ranges(spark):
