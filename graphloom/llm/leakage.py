@@ -234,18 +234,18 @@ class Passages:
         self.clear()
 
     def clear(self) -> None:
-        self.number: dict[str, int] = {}
-        self.known: dict[str, tuple[np.ndarray, dict, list]] = {}
+        self.number: dict[str | tuple, int] = {}
+        self.known: dict[str, tuple[np.ndarray, dict[int, list[int]]]] = {}
 
-    def get(self, key: str, words: Callable[[], list[str]]) -> tuple[np.ndarray, dict, list]:
-        """Numbers, places by run, and runs in order."""
+    def get(self, key: str, words: Callable[[], list[str]]) -> tuple[np.ndarray, dict[int, list[int]]]:
+        """The numbers of the words, and the places of each run by its number."""
         if key not in self.known:
-            codes = [self.number.setdefault(w, len(self.number)) for w in words()]
-            runs = list(zip(*(codes[i:] for i in range(self.m)), strict=False))
-            places: dict[tuple, list[int]] = {}
-            for j, r in enumerate(runs):
-                places.setdefault(r, []).append(j)
-            self.known[key] = np.array(codes, np.int64), places, runs
+            number = self.number
+            codes = [number.setdefault(w, len(number)) for w in words()]
+            places: dict[int, list[int]] = {}
+            for j, r in enumerate(zip(*(codes[i:] for i in range(self.m)), strict=False)):
+                places.setdefault(number.setdefault(r, len(number)), []).append(j)
+            self.known[key] = np.array(codes, np.int64), places
         return self.known[key]
 
 
@@ -273,20 +273,14 @@ def verify(pairs: list[tuple[tuple, tuple]], n: int, most: int) -> list[tuple[in
     who, first, last, shift, texts, items = [], [], [], [], [], []
     at_text = at_item = 0
     pad = np.full(n + 2 * most, -1, np.int64)
-    for k, ((here, _, runs), (there, places, _)) in enumerate(pairs):
-        open_: dict[int, int] = {}  # diagonal: first place in the item of the run now open
-        ended: list[tuple[int, int, int]] = []
-        recent: dict[int, int] = {}
-        for i, r in enumerate(runs):
-            if r in places:
-                for j in places[r]:
-                    d = i - j
-                    if recent.get(d) != j - 1:
-                        if d in open_:
-                            ended.append((d, open_[d], recent[d] + m))
-                        open_[d] = j
-                    recent[d] = j
-        ended += [(d, j, recent[d] + m) for d, j in open_.items()]
+    for k, ((here, own), (there, places)) in enumerate(pairs):
+        met = sorted((i - j, j) for r in own.keys() & places.keys() for i in own[r] for j in places[r])
+        ended: list[list[int]] = []  # diagonal, first and end place in the item of each run
+        for d, j in met:
+            if ended and ended[-1][0] == d and ended[-1][2] == j + m - 1:
+                ended[-1][2] += 1
+            else:
+                ended.append([d, j, j + m])
         longest = max((e - j for _, j, e in ended), default=0)
         out.append((0 if longest >= n else most + 1, longest))
         if longest >= n or not most or not ended:
@@ -391,8 +385,8 @@ def leaks(documents: DataFrame, items: DataFrame, window: int = WINDOW, edits: i
     hits = docs.mapInArrow(_sift(sieve, bits, window, samples, walks, edits), "doc_id bigint, words string, sigs array<bigint>")
     hits = cut(hits.withColumn("stretch", F.xxhash64("doc_id", "words")))
     met = hits.select("stretch", F.explode("sigs").alias("sig")).join(broadcast_if_small(known), "sig").select("stretch", "item_no").distinct()
-    # A number is given: what is to be verified is small in bytes and long in work.
-    met = cut(met).repartition(max(8, 2 * spark.sparkContext.defaultParallelism))
+    # A number is given: what is to be verified is small in bytes and long in work. A stretch's pairs come one after another.
+    met = cut(met).repartition(max(8, 2 * spark.sparkContext.defaultParallelism), "stretch").sortWithinPartitions("stretch")
     words = broadcast_if_small(hits.select("stretch", "doc_id", "words"))
     pairs = met.join(words, "stretch").join(broadcast_if_small(held), "item_no").select("doc_id", "words", "item_id", "text")
     sure = pairs.mapInArrow(_verified(window, edits), "doc_id bigint, item_id bigint, edits int, run int")
