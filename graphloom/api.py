@@ -18,7 +18,7 @@ from graphloom.functions.keys import short_id
 from graphloom.operators import contextpack, textsearch, traverse, validate
 from graphloom.operators import relational as R
 from graphloom.operators.graphview import Graph
-from graphloom.sources import extract, sinks, tree
+from graphloom.sources import extract, indexer, sinks, tree
 
 
 @dataclass
@@ -107,10 +107,15 @@ class Workspace:
         (out.write.json if form == "protocol" else out.orderBy("section", "line").select("line").write.text)(root)
         return out
 
-    def index(self, root: str) -> DataFrame:
-        """Extracted rows of a working tree, with the targets of imports resolved to files."""
+    def index(self, root: str, store: str | None = None) -> DataFrame:
+        """Rows of a working tree, with the targets of imports resolved to files; with a store only what changed since its last run is read."""
         files, _ = tree.scan(self.spark, root, list(self.config.excludes), self.config.max_kb)
-        found = extract.extract(files)
+        if store:
+            index = indexer.Indexer(self.spark, store)
+            index.run(files)
+            found = index.records()
+        else:
+            found = extract.extract(files)
         return found.where("record <> 'relation'").unionByName(extract.canonical_relations(found.where("record = 'relation'"), files))
 
 
@@ -133,7 +138,7 @@ COMMANDS = TOOLS | {
     "cycles": lambda w, a: w.cycles(),
     "repair": lambda w, a: w.repairs(tuple(a.get("optIn", ()))),
     "export": lambda w, a: w.export(a["root"], a.get("form", "jsonl")),
-    "index": lambda w, a: w.index(a["root"]),
+    "index": lambda w, a: w.index(a["root"], a.get("store")),
     "path": lambda w, a: w.path(a["from"], a["to"], typed=True),
 }
 

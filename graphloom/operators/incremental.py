@@ -28,17 +28,16 @@ ignored.
 from __future__ import annotations
 
 import json
-import os
 import uuid
 from dataclasses import dataclass, field
 from datetime import timedelta
 
-from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom import schema
 from graphloom.functions.keys import normalize_path
+from graphloom.session import commit_file, list_files, read_file_text
 
 _STATE = "path string, state struct<indexed_at: timestamp_ntz, run_id: bigint, hash: string>"
 #: A run open for so long counts as abandoned.
@@ -109,23 +108,10 @@ class ChangeFeed:
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
-        jvm = spark._jvm
-        self._Path = jvm.org.apache.hadoop.fs.Path
-        self._fs = self._Path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
 
     def commits(self) -> list[Commit]:
-        folder = self._Path(f"{self.root}/commits")
-        if not self._fs.exists(folder):
-            return []
-        names = sorted(s.getPath().getName() for s in self._fs.listStatus(folder) if s.getPath().getName().endswith(".json") and not s.getPath().getName().startswith("."))
-        out = []
-        for n in names:
-            stream = self._fs.open(self._Path(f"{self.root}/commits/{n}"))
-            try:
-                out.append(Commit(**json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))))
-            finally:
-                stream.close()
-        return out
+        names = [n for n in list_files(self.spark, f"{self.root}/commits") if n.endswith(".json")]
+        return [Commit(**json.loads(read_file_text(self.spark, f"{self.root}/commits/{n}"))) for n in names]
 
     def watermark(self) -> int | None:
         done = self.commits()
@@ -158,23 +144,9 @@ class ChangeFeed:
         return c
 
     def _commit(self, c: Commit) -> None:
-        folder, name = f"{self.root}/commits", f"{c.sequence:08d}.json"
-        tmp = self._Path(f"{folder}/.{name}-{uuid.uuid4().hex}")
-        out = self._fs.create(tmp, True)
-        out.write(bytearray(json.dumps(c.__dict__).encode()))
-        out.close()
-        final = self._Path(f"{folder}/{name}")
         try:
-            if self._fs.getScheme() == "file":
-                os.link(tmp.toUri().getPath(), final.toUri().getPath())
-                self._fs.delete(tmp, False)
-            else:
-                jvm = self.spark._jvm
-                options = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
-                options[0] = jvm.org.apache.hadoop.fs.Options.Rename.NONE
-                jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self.spark._jsc.hadoopConfiguration()).rename(tmp, final, options)
-        except (FileExistsError, Py4JJavaError) as e:
-            self._fs.delete(tmp, False)
+            commit_file(self.spark, f"{self.root}/commits/{c.sequence:08d}.json", json.dumps(c.__dict__))
+        except FileExistsError as e:
             raise RuntimeError(f"commit {c.sequence} was made by another writer") from e
 
     def changes(self) -> DataFrame:

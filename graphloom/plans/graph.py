@@ -15,7 +15,7 @@ from graphloom.operators import relational as R
 from graphloom.operators.graphview import Graph
 from graphloom.plans.relational import _E, _FILEDEPS, _TEXT, HUB, NOW, PROVIDER
 from graphloom.session import shared_path
-from graphloom.sources import extract, sinks, tree
+from graphloom.sources import extract, indexer, sinks, tree
 from graphloom.streaming import watch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -363,6 +363,30 @@ def s09(g: Graph) -> DataFrame:
     return s.select("path", validate.text_class(F.col("content").cast("binary")).alias("text_class"))
 
 
+_VERSIONS = f"""src AS (SELECT {sql_norm_path('path')} AS path, coalesce(content, '') AS content FROM source_files WHERE path IS NOT NULL),
+one AS (SELECT path, min(sha256(content)) AS h FROM src WHERE path NOT LIKE '%.rb' GROUP BY path),
+two AS (SELECT CASE WHEN path LIKE '%.rs' THEN 'moved/' || path ELSE path END AS path, min(sha256(CASE WHEN path LIKE '%.ts' THEN content || ' ' ELSE content END)) AS h FROM src WHERE path NOT LIKE '%.py' OR path LIKE '%e%.py' GROUP BY 1),
+gone AS (SELECT path, h FROM one WHERE path NOT IN (SELECT path FROM two)), born AS (SELECT path, h FROM two WHERE path NOT IN (SELECT path FROM one)),
+ren AS (SELECT count(*) AS n FROM (SELECT h, row_number() OVER (PARTITION BY h ORDER BY path) AS k FROM gone) a JOIN (SELECT h, row_number() OVER (PARTITION BY h ORDER BY path) AS k FROM born) b USING (h, k)),
+todo AS (SELECT count(*) AS n FROM two LEFT JOIN one USING (path) WHERE one.h IS NULL OR one.h <> two.h)"""
+
+
+@query(
+    "c06_index_runs", _VERSIONS,
+    sql="""SELECT 0 AS run, count(*) AS total, count(*) AS indexed, 0 AS cached, 0 AS deleted, 0 AS renamed FROM one
+UNION ALL SELECT 1, (SELECT count(*) FROM two), todo.n, (SELECT count(*) FROM two) - todo.n, (SELECT count(*) FROM gone) - ren.n, ren.n FROM todo, ren
+UNION ALL SELECT 2, (SELECT count(*) FROM two), 0, (SELECT count(*) FROM two), 0, 0""",
+)
+def c06(g: Graph) -> DataFrame:
+    """Three runs of the index: without Ruby files; then with them, Rust moved, TypeScript edited and a part of Python gone; then unchanged."""
+    index = indexer.Indexer(g.spark, shared_path(g.spark, "index"))
+    s = g.raw("source_files").select(V.normalize_path(F.col("path")).alias("path"), F.coalesce("content", F.lit("")).alias("content"))
+    p = F.col("path")
+    two = s.where(~p.endswith(".py") | p.like("%e%.py")).select(F.when(p.endswith(".rs"), F.concat(F.lit("moved/"), p)).otherwise(p).alias("path"), F.when(p.endswith(".ts"), F.concat("content", F.lit(" "))).otherwise(F.col("content")).alias("content"))
+    runs = [index.run(f) for f in (s.where(~p.endswith(".rb")), two, two)]
+    return g.spark.createDataFrame([(r.number, r.total, r.indexed, r.cached, r.deleted, r.renamed) for r in runs], "run int, total bigint, indexed bigint, cached bigint, deleted bigint, renamed bigint")
+
+
 @query("s12_extract")
 def s12(g: Graph) -> DataFrame:
     """record, kind, source, n: what the four extractors find in all source files."""

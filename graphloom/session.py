@@ -7,6 +7,7 @@ import re
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -77,6 +78,55 @@ def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame
     return F.broadcast(df) if size <= limit else df
 
 
+def _file_system(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def list_files(spark: SparkSession, folder: str) -> list[str]:
+    """Names in a folder, in order; none if it does not exist."""
+    fs, p = _file_system(spark, folder)
+    return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
+
+
+def read_file_text(spark: SparkSession, path: str) -> str:
+    fs, p = _file_system(spark, path)
+    stream = fs.open(p)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    fs, p = _file_system(spark, path)
+    fs.delete(p, True)
+
+
+def commit_file(spark: SparkSession, path: str, body: str) -> None:
+    """Puts a file in place whole, or fails with FileExistsError if there is one: of two writers one wins.
+
+    A hard link does it on a local file system, a rename without overwriting elsewhere.
+    """
+    jvm = spark._jvm
+    fs, final = _file_system(spark, path)
+    tmp = jvm.org.apache.hadoop.fs.Path(f"{final.getParent()}/.{final.getName()}-{uuid.uuid4().hex}")
+    out = fs.create(tmp, True)
+    out.write(bytearray(body.encode()))
+    out.close()
+    try:
+        if fs.getScheme() == "file":
+            os.link(tmp.toUri().getPath(), final.toUri().getPath())
+            fs.delete(tmp, False)
+        else:
+            options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+            options[0] = jvm.org.apache.hadoop.fs.Options.Rename.NONE
+            jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration()).rename(tmp, final, options)
+    except (FileExistsError, Py4JJavaError) as e:
+        fs.delete(tmp, False)
+        raise FileExistsError(path) from e
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 

@@ -2,44 +2,40 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.operators.relational import snapshot_difference
+from graphloom.session import commit_file, list_files, read_file_text
 
 
 class Watcher:
     """Compares full listings: a file source reports new paths only, never edits or deletions.
 
     Each tick takes a listing (path, state), compares it with the committed one, hands the changes
-    to the handler and then commits the new listing by renaming it into place. A tick that fails
-    before that is simply done again from the old listing.
+    to the handler and then commits the new listing with a small file that names it. A tick that
+    fails before that is simply done again from the old listing; of two watchers one wins a tick.
     """
 
     def __init__(self, spark: SparkSession, root: str, listing: Callable[[], DataFrame], handler: Callable[[DataFrame, int], None]):
         self.spark, self.root, self.listing, self.handler = spark, root.rstrip("/"), listing, handler
-        self._Path = spark._jvm.org.apache.hadoop.fs.Path
-        self._fs = self._Path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
-
-    def _versions(self) -> list[int]:
-        p = self._Path(self.root)
-        if not self._fs.exists(p):
-            return []
-        return sorted(int(n) for s in self._fs.listStatus(p) if (n := s.getPath().getName()).isdigit())
 
     def tick(self) -> int:
         """One comparison; the number of the committed listing."""
-        done = self._versions()
-        n = done[-1] + 1 if done else 0
-        tmp = f"{self.root}/.pending-{n}"
-        self.listing().write.mode("overwrite").parquet(tmp)
-        new = self.spark.read.parquet(tmp)
-        old = self.spark.read.parquet(f"{self.root}/{done[-1]}") if done else new.limit(0)
+        done = [n for n in list_files(self.spark, f"{self.root}/commits") if n.endswith(".txt")]
+        n = len(done)
+        name = f"{self.root}/listing-{n}-{uuid.uuid4().hex}"
+        self.listing().write.parquet(name)
+        new = self.spark.read.parquet(name)
+        old = self.spark.read.parquet(read_file_text(self.spark, f"{self.root}/commits/{done[-1]}")) if done else new.limit(0)
         self.handler(snapshot_difference(old, new, "path", "state"), n)
-        if not self._fs.rename(self._Path(tmp), self._Path(f"{self.root}/{n}")):
-            raise RuntimeError(f"listing {n} was committed by another watcher")
+        try:
+            commit_file(self.spark, f"{self.root}/commits/{n:08d}.txt", name)
+        except FileExistsError as e:
+            raise RuntimeError(f"listing {n} was committed by another watcher") from e
         return n
 
     def start(self, seconds: int = 1):
