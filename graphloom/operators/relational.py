@@ -59,6 +59,17 @@ def is_test_path(path: Column) -> Column:
     return path.rlike(r"/tests?/|\.(test|spec)\.[jt]sx?$|_test\.(py|rs|rb|go)$|_spec\.rb$|(^|/)test_[^/]*\.py$")
 
 
+def corrupt_json(df: DataFrame, column: str) -> DataFrame:
+    """Rows whose text in the column is no JSON."""
+    return df.where(F.col(column).isNotNull() & F.try_parse_json(F.col(column)).isNull())
+
+
+def unchanged_files(files: DataFrame, now: DataFrame) -> DataFrame:
+    """path of the files whose size and time of change are what they were; a null says nothing."""
+    new = now.select("path", F.col("size_bytes").alias("new_bytes"), F.col("mtime_ms").alias("new_ms"))
+    return files.join(new, "path").where((F.col("size_bytes") == F.col("new_bytes")) & (F.col("mtime_ms") == F.col("new_ms"))).select("path")
+
+
 def edge_priority(kind: Column, weight: Column, confidence: Column) -> Column:
     """100 x (weight or confidence) + 10 x confidence + the kind's weight."""
     table = F.create_map(*[F.lit(x) for kv in schema.EDGE_WEIGHT.items() for x in kv])

@@ -13,7 +13,7 @@ from graphloom.operators import contextpack, merge, textsearch, traverse, valida
 from graphloom.operators import graphview as V
 from graphloom.operators import relational as R
 from graphloom.operators.graphview import Graph
-from graphloom.plans.relational import _E, _FILEDEPS, _TEXT, HUB, NOW, PROVIDER
+from graphloom.plans.relational import _E, _FILEDEPS, _TEXT, HUB, NOW, PROVIDER, _refreshed
 from graphloom.session import shared_path
 from graphloom.sources import extract, indexer, sinks, tree
 from graphloom.streaming import watch
@@ -99,7 +99,7 @@ def _kinds(k: list[str]) -> str:
     return schema.sql_list(k)
 
 
-_ROOT = "root AS (SELECT min(uid) AS uid FROM ent WHERE kind = 'repository')"
+_ROOT = "root AS (SELECT from_uid AS uid FROM rel WHERE kind = 'contains' AND from_uid LIKE 'repository:%' GROUP BY from_uid ORDER BY count(*) DESC, from_uid LIMIT 1)"
 
 
 def _pick(g: Graph) -> str:
@@ -134,7 +134,8 @@ def g07s(g: Graph) -> DataFrame:
 @query("g10_descendants", V.ENT, V.REL, _ROOT, "seen AS (SELECT uid, 0 AS depth FROM root UNION SELECT r.to_uid, s.depth + 1 FROM seen s JOIN rel r ON r.from_uid = s.uid WHERE s.depth < 30 AND r.kind = 'contains')", sql="SELECT uid, min(depth)::INTEGER AS depth FROM seen GROUP BY uid", recursive=True)
 def g10(g: Graph) -> DataFrame:
     e = g.relations.where("kind = 'contains'").select(F.col("from_uid").alias("src"), F.col("to_uid").alias("dst"))
-    return traverse.closure(e, g.entities.where("kind = 'repository'").agg(F.min("uid").alias("uid")), 30)
+    top = e.where("src LIKE 'repository:%'").groupBy("src").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "src").limit(1)
+    return traverse.closure(e, top.select(F.col("src").alias("uid")))
 
 
 @query("g08_path_length", V.REL, _PICK, f"seen AS (SELECT uid, 0 AS depth FROM pick UNION SELECT r.to_uid, s.depth + 1 FROM seen s JOIN rel r ON r.from_uid = s.uid WHERE s.depth < 12 AND r.kind IN ({_kinds(schema.TRAVERSAL_KINDS)}))", sql=f"SELECT coalesce(min(depth), -1)::INTEGER AS steps FROM seen WHERE uid = '{HUB}'", recursive=True)
@@ -294,9 +295,9 @@ def v12(g: Graph) -> DataFrame:
     return g.entities.where(F.col("name").isNotNull()).select("uid", F.round(F.element_at(v, 1), 6).alias("first"), F.round(F.element_at(v, 16), 6).alias("last"))
 
 
-@query("v14_stale_vectors", V.ENT, V.VEC, sql=f"SELECT uid, sha256({_TEXT}) AS content_hash FROM ent e WHERE NOT EXISTS (SELECT 1 FROM vec v WHERE v.uid = e.uid AND v.provider = '{PROVIDER}' AND v.r.h = sha256({_TEXT}))")
+@query("v14_stale_vectors", V.ENT, V.VEC, sql=f"SELECT uid, sha256({_TEXT}) AS content_hash FROM ent e WHERE NOT EXISTS (SELECT 1 FROM vec v WHERE v.uid = e.uid AND v.provider = '{PROVIDER}' AND (e.kind = 'function' OR v.r.h = sha256({_TEXT})))")
 def v14(g: Graph) -> DataFrame:
-    return vector.stale_vectors(g.entities, g.vectors, PROVIDER, R.semantic_text()).select("uid", "content_hash")
+    return vector.stale_vectors(g.entities, _refreshed(g), PROVIDER, R.semantic_text()).select("uid", "content_hash")
 
 
 # ---- validation
@@ -407,9 +408,12 @@ def j12(g: Graph) -> DataFrame:
     return extract.extract(g.raw("source_files")).where("record = 'relation' AND kind = 'calls'").select("from_uid", "to_uid")
 
 
-@query("h16_markers", sql=f"SELECT DISTINCT path, i AS line, regexp_extract(l, '@uid\\s+((?:obj|func)-[0-9a-f]{{8}})\\b', 1) AS marker FROM (SELECT path, unnest(string_split_regex(content, '\\r\\n|\\n|\\r')) AS l, generate_subscripts(string_split_regex(content, '\\r\\n|\\n|\\r'), 1)::INTEGER AS i FROM source_files WHERE content IS NOT NULL) WHERE regexp_matches(l, '@uid\\s+(?:obj|func)-[0-9a-f]{{8}}\\b')")
+@query("h16_markers", sql=f"SELECT DISTINCT path, i AS line, regexp_extract(l, '@uid\\s+((?:obj|func)-[0-9a-f]{{8}})\\b', 1) AS marker FROM (SELECT path, unnest(string_split_regex(content, '\\r\\n|\\n|\\r')) AS l, generate_subscripts(string_split_regex(content, '\\r\\n|\\n|\\r'), 1)::INTEGER AS i FROM (SELECT path, CASE WHEN path LIKE '%.rs' THEN 'x' || chr(10) || '// @uid func-' || left(sha1(path), 8) || chr(10) || content ELSE content END AS content FROM source_files WHERE content IS NOT NULL)) WHERE regexp_matches(l, '@uid\\s+(?:obj|func)-[0-9a-f]{{8}}\\b')")
 def h16(g: Graph) -> DataFrame:
-    return extract.markers(g.raw("source_files").where(F.col("content").isNotNull())).distinct()
+    """With a marker put into the second line of Rust files."""
+    s = g.raw("source_files").where(F.col("content").isNotNull())
+    marked = F.concat(F.lit("x\n// @uid func-"), F.left(F.sha1("path"), F.lit(8)), F.lit("\n"), "content")
+    return extract.markers(s.withColumn("content", F.when(F.col("path").endswith(".rs"), marked).otherwise(F.col("content")))).distinct()
 
 
 @query("k03_review_lines", V.ENT, V.REL, sql="SELECT 2 AS section, from_uid || ' --' || kind || '--> ' || to_uid AS line FROM rel UNION ALL SELECT 1, uid || ' [' || kind || '] | name=' || coalesce(name, '') || ' | path=' || coalesce(path, '') FROM ent")

@@ -14,7 +14,7 @@ from graphloom.operators import merge, textsearch, traverse
 from graphloom.operators import relational as R
 from graphloom.operators.graphview import Graph
 from graphloom.plans.graph import _TOKENS, _pick
-from graphloom.plans.relational import PROVIDER
+from graphloom.plans.relational import PROVIDER, _tested
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -183,9 +183,9 @@ def j07(g: Graph) -> DataFrame:
     return g.all_relations.agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("c14_test_entities", V.FILES, sql=r"SELECT 'test:' || path AS uid, 'file:' || path AS from_uid FROM files WHERE regexp_matches(path, '/tests?/|\.(test|spec)\.[jt]sx?$|_test\.(py|rs|rb|go)$|_spec\.rb$|(^|/)test_[^/]*\.py$')")
+@query("c14_test_entities", V.FILES, sql=r"SELECT 'test:' || path AS uid, 'file:' || path AS from_uid FROM (SELECT regexp_replace(regexp_replace(path, 'e\.py$', 'e_test.py'), '(t\.ts)$', 'x.spec.ts') AS path FROM files) WHERE regexp_matches(path, '/tests?/|\.(test|spec)\.[jt]sx?$|_test\.(py|rs|rb|go)$|_spec\.rb$|(^|/)test_[^/]*\.py$')")
 def c14(g: Graph) -> DataFrame:
-    return g.files.where(R.is_test_path(F.col("path"))).select(F.concat(F.lit("test:"), "path").alias("uid"), F.concat(F.lit("file:"), "path").alias("from_uid"))
+    return _tested(g).where(R.is_test_path(F.col("path"))).select(F.concat(F.lit("test:"), "path").alias("uid"), F.concat(F.lit("file:"), "path").alias("from_uid"))
 
 
 @query("h18_alias_index", V.FILES, sql=r"SELECT path, path AS alias FROM files UNION SELECT path, regexp_replace(path, '\.[A-Za-z0-9]+$', '') FROM files UNION SELECT path, regexp_replace(path, '/(index\.[jt]sx?|mod\.rs)$', '') FROM files")

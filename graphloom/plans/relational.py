@@ -168,9 +168,11 @@ def p07(g: Graph) -> DataFrame:
     return g.entities.where((F.col("source_priority") < 100) & F.col("path").isNotNull()).select(*_E)
 
 
-@query("id_p08_suffix_lookup", V.ENT, sql="SELECT uid, kind, name, path FROM ent WHERE path = 'widget' OR ends_with(lower(path), '/probe_ticket.py') OR path = 'probe_ticket.py'")
+@query("id_p08_suffix_lookup", V.ENT, "pick AS (SELECT upper(regexp_extract(min(path), '[^/]+$')) AS p FROM ent WHERE kind = 'file')", sql="SELECT uid, kind, name, path FROM ent, pick WHERE path = p OR ends_with(lower(path), '/' || lower(p))")
 def p08(g: Graph) -> DataFrame:
-    return R.path_suffix(g.entities, "probe_ticket.py").select(*_E)
+    """The last part of the first file's path, in capitals."""
+    name = g.entities.where("kind = 'file'").agg(F.min("path")).first()[0].rsplit("/", 1)[-1].upper()
+    return R.path_suffix(g.entities, name).select(*_E)
 
 
 @query("id_p10_incoming", V.ENT, V.REL, V.CONTAINS, sql=f"SELECT from_uid, to_uid, kind, derived FROM allrel WHERE to_uid = '{HUB}'")
@@ -199,20 +201,28 @@ def p15(g: Graph) -> DataFrame:
     return R.abandoned_runs(g.raw("index_runs"), F.lit(NOW).cast("timestamp_ntz")).select("run_id", "mode", "started_at")
 
 
-@query("id_p16_corrupt_json", V.ENT, sql="SELECT uid FROM ent WHERE metadata IS NOT NULL AND NOT json_valid(metadata)")
+@query("id_p16_corrupt_json", V.ENT, sql="SELECT uid FROM (SELECT uid, CASE WHEN kind = 'method' THEN left(metadata, length(metadata) - 1) ELSE metadata END AS m FROM ent) WHERE m IS NOT NULL AND NOT json_valid(m)")
 def p16(g: Graph) -> DataFrame:
-    return g.entities.where(F.col("metadata").isNotNull() & F.try_parse_json("metadata").isNull()).select("uid")
+    """With the last character of the metadata of methods lost."""
+    cut = F.when(F.col("kind") == "method", F.substring("metadata", F.lit(1), F.length("metadata") - 1)).otherwise(F.col("metadata"))
+    return R.corrupt_json(g.entities.withColumn("metadata", cut), "metadata").select("uid")
 
 
-@query("id_p18_unchanged_files", V.FILES, sql=f"SELECT s.path FROM (SELECT DISTINCT {V.sql_norm_path('path')} AS path, size_bytes FROM source_files) s JOIN files f ON f.path = s.path WHERE f.r.size_bytes = s.size_bytes AND f.r.mtime_ms IS NOT NULL")
+@query("id_p18_unchanged_files", V.FILES, "now AS (SELECT path, r.size_bytes + CASE WHEN path LIKE '%e.%' THEN 1 ELSE 0 END AS size_bytes, r.mtime_ms + CASE WHEN path LIKE '%.ts' THEN 1 ELSE 0 END AS mtime_ms FROM files)", sql="SELECT path FROM files JOIN now USING (path) WHERE files.r.size_bytes = now.size_bytes AND files.r.mtime_ms = now.mtime_ms")
 def p18(g: Graph) -> DataFrame:
-    s = g.raw("source_files").select(V.normalize_path(F.col("path")).alias("path"), F.col("size_bytes").alias("now_bytes")).distinct()
-    return s.join(g.files, "path").where((F.col("size_bytes") == F.col("now_bytes")) & F.col("mtime_ms").isNotNull()).select("path")
+    """Against a listing in which TypeScript files have another time and some files another size."""
+    now = g.files.select("path", (F.col("size_bytes") + F.col("path").like("%e.%").cast("int")).alias("size_bytes"), (F.col("mtime_ms") + F.col("path").endswith(".ts").cast("int")).alias("mtime_ms"))
+    return R.unchanged_files(g.files, now)
 
 
-@query("id_p19_test_paths", V.FILES, sql=r"SELECT path FROM files WHERE regexp_matches(path, '/tests?/|\.(test|spec)\.[jt]sx?$|_test\.(py|rs|rb|go)$|_spec\.rb$|(^|/)test_[^/]*\.py$')")
+@query("id_p19_test_paths", V.FILES, sql=r"SELECT path FROM (SELECT regexp_replace(regexp_replace(path, 'e\.py$', 'e_test.py'), '(t\.ts)$', 'x.spec.ts') AS path FROM files) WHERE regexp_matches(path, '/tests?/|\.(test|spec)\.[jt]sx?$|_test\.(py|rs|rb|go)$|_spec\.rb$|(^|/)test_[^/]*\.py$')")
 def p19(g: Graph) -> DataFrame:
-    return g.files.where(R.is_test_path(F.col("path"))).select("path")
+    """With some Python and TypeScript files renamed to tests."""
+    return _tested(g).where(R.is_test_path(F.col("path"))).select("path")
+
+
+def _tested(g: Graph) -> DataFrame:
+    return g.files.select(F.regexp_replace(F.regexp_replace("path", r"e\.py$", "e_test.py"), r"(t\.ts)$", "x.spec.ts").alias("path"))
 
 
 @query("id_p20_high_signal", V.ENT, V.REL, sql=f"SELECT from_uid, to_uid, kind FROM rel WHERE kind IN ({schema.sql_list(schema.HIGH_SIGNAL_KINDS)}) AND NOT coalesce(is_synthetic, false) AND from_uid NOT IN (SELECT uid FROM ent WHERE kind IN ('file', 'directory')) AND to_uid NOT IN (SELECT uid FROM ent WHERE kind IN ('file', 'directory'))")
@@ -230,20 +240,23 @@ def j01(g: Graph) -> DataFrame:
     return R.missing_parent(g.files, F.concat(F.lit("file:"), "path"), g.entities).select("path")
 
 
-@query("j02_orphan_vectors", V.ENT, V.VEC, sql="SELECT uid, provider FROM vec WHERE uid NOT IN (SELECT uid FROM ent)")
+@query("j02_orphan_vectors", V.ENT, V.VEC, sql="SELECT uid, provider FROM vec WHERE uid NOT IN (SELECT uid FROM ent WHERE kind <> 'method')")
 def j02(g: Graph) -> DataFrame:
-    return R.missing_parent(g.vectors, F.col("uid"), g.entities).select("uid", "provider")
+    """With the methods gone."""
+    return R.missing_parent(g.vectors, F.col("uid"), g.entities.where("kind <> 'method'")).select("uid", "provider")
 
 
-@query("j03_stale_sources", V.FILES, sql=f"SELECT DISTINCT {V.sql_norm_path('path')} AS path FROM source_files WHERE {V.sql_norm_path('path')} NOT IN (SELECT path FROM files)")
+@query("j03_stale_sources", V.FILES, sql=f"SELECT DISTINCT {V.sql_norm_path('path')} AS path FROM source_files WHERE {V.sql_norm_path('path')} NOT IN (SELECT path FROM files WHERE path NOT LIKE '%.rb')")
 def j03(g: Graph) -> DataFrame:
-    return g.raw("source_files").select(V.normalize_path(F.col("path")).alias("path")).distinct().join(g.files.select("path"), "path", "left_anti")
+    """With the observations of Ruby files gone."""
+    return g.raw("source_files").select(V.normalize_path(F.col("path")).alias("path")).distinct().join(g.files.where("path NOT LIKE '%.rb'").select("path"), "path", "left_anti")
 
 
-@query("j04_unresolved_without_file", V.ENT, V.UNRES, sql="SELECT DISTINCT path FROM unres WHERE NOT coalesce(resolved, false) AND path IS NOT NULL AND 'file:' || path NOT IN (SELECT uid FROM ent)")
+@query("j04_unresolved_without_file", V.ENT, V.UNRES, sql="SELECT DISTINCT path FROM unres WHERE NOT coalesce(resolved, false) AND path IS NOT NULL AND 'file:' || path NOT IN (SELECT uid FROM ent WHERE uid NOT LIKE '%.ts')")
 def j04(g: Graph) -> DataFrame:
+    """With the TypeScript files gone."""
     u = g.unresolved.where(~F.coalesce("resolved", F.lit(False)) & F.col("path").isNotNull()).select("path").distinct()
-    return R.missing_parent(u, F.concat(F.lit("file:"), "path"), g.entities)
+    return R.missing_parent(u, F.concat(F.lit("file:"), "path"), g.entities.where("uid NOT LIKE '%.ts'"))
 
 
 @query("j05_orphan_entities", V.ENT, V.REL, sql="SELECT uid, kind, name, path FROM ent WHERE kind NOT IN ('repository', 'directory', 'file') AND uid NOT IN (SELECT to_uid FROM rel WHERE kind <> 'contains')")
@@ -279,9 +292,15 @@ def j14(g: Graph) -> DataFrame:
 _TEXT = "concat_ws(chr(10), name, signature, description, docstring)"
 
 
-@query("j15_versioned_vectors", V.ENT, V.VEC, sql=f"SELECT e.uid FROM ent e JOIN vec v ON v.uid = e.uid AND v.provider = '{PROVIDER}' AND v.r.h = sha256({_TEXT})")
+@query("j15_versioned_vectors", V.ENT, V.VEC, sql=f"SELECT e.uid FROM ent e JOIN vec v ON v.uid = e.uid AND v.provider = '{PROVIDER}' AND (e.kind = 'function' OR v.r.h = sha256({_TEXT}))")
 def j15(g: Graph) -> DataFrame:
-    return R.versioned_vectors(g.entities, g.vectors, PROVIDER).select("uid")
+    return R.versioned_vectors(g.entities, _refreshed(g), PROVIDER).select("uid")
+
+
+def _refreshed(g: Graph) -> DataFrame:
+    """The vectors as if those of functions had been made from the text of now."""
+    now = g.entities.where("kind = 'function'").select("uid", F.sha2(R.semantic_text(), 256).alias("now"))
+    return g.vectors.join(now, "uid", "left").withColumn("content_hash", F.coalesce("now", "content_hash")).drop("now")
 
 
 _API = "SELECT path, sha256(string_agg(item, chr(10) ORDER BY item)) AS fingerprint FROM (SELECT path, uid || '|' || kind || '|' || name || '|' || coalesce(signature, '') AS item FROM {0} WHERE is_public AND path IS NOT NULL) GROUP BY path"
