@@ -171,6 +171,9 @@ def python(text: str) -> tuple[list[str], list[int]]:
             fresh = False
             if at >= end:
                 break
+        if text[at] == " ":  # by far the most frequent token
+            at += 1
+            continue
         m = _PY.match(text, at)
         if m is None:
             raise Broken(at)
@@ -303,6 +306,9 @@ def _typescript(text: str, at: int, inner: bool) -> tuple[list[str], list[int],
         broke = False
 
     while at < end:
+        if text[at] == " ":  # by far the most frequent token
+            at += 1
+            continue
         m = _TS.match(text, at)
         if m is None:
             raise Broken(at)
@@ -397,10 +403,19 @@ def rust(text: str) -> tuple[list[str], list[int]]:
     if text.startswith("#!") and not re.compile(r"#!\s*\[").match(text):
         at = re.compile(r"[^\n]*").match(text).end()
     while at < end:
+        if text[at] == " ":  # by far the most frequent token
+            at += 1
+            continue
         m = _RS.match(text, at)
         if m is None:
             raise Broken(at)
-        if m["space"] or m["comment"]:
+        kind = m.lastgroup
+        if kind == "space" or kind == "comment":
+            at = m.end()
+            continue
+        if kind == "mark":
+            at_.append(at)
+            kinds.append(sys.intern(m["mark"]))
             at = m.end()
             continue
         if m["block"]:
@@ -513,19 +528,23 @@ def _ruby(text: str, at: int, inner: bool) -> tuple[list[str], list[int], int]:
             if re.compile(r"__END__(?:\r?\n|$)").match(text, at):
                 break
         line_start = False
+        if text[at] == " ":  # by far the most frequent token
+            space = True
+            at += 1
+            continue
         m = _RB.match(text, at)
         if m is None:
             raise Broken(at)
         kind = m.lastgroup
+        if kind == "space" or kind == "comment":
+            space = True
+            at = m.end()
+            continue
         last = kinds[-1] if kinds else ""
         value = last in _RB_VALUE
         # After a plain name and a blank, a mark that touches what follows starts an argument.
         tight = not text[m.end() : m.end() + 1].isspace()
         starts = not value or (last in _RB_NAMES and space and tight)
-        if m["space"] or m["comment"]:
-            space = True
-            at = m.end()
-            continue
         if m["line"]:
             at = m.end()
             for tag, squiggle, expand in here:
