@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from graphloom import schema
 from graphloom.operators import hierarchy
 from graphloom.operators.relational import edge_priority
-from graphloom.session import cut
+from graphloom.session import broadcast_if_small, cut
 
 
 #: Fronts that are kept apart before they are written as one table.
@@ -36,7 +36,8 @@ def closure(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None) ->
     front = cut(seeds.select("uid").distinct().withColumn("depth", F.lit(0)))
     seen = [front]  # the fronts; a node is written once, and once more for every PARTS rounds
     for depth in itertools.count(1) if max_depth is None else range(1, max_depth + 1):
-        step = front.select(F.col("uid").alias("src")).join(e, "src").select(F.col("dst").alias("uid")).distinct()
+        # Of measured size, so that the edges stay where they are while the front is small.
+        step = e.join(broadcast_if_small(front.select(F.col("uid").alias("src"))), "src").select(F.col("dst").alias("uid")).distinct()
         front = cut(step.join(reduce(DataFrame.unionByName, seen), "uid", "left_anti").withColumn("depth", F.lit(depth)))
         if front.isEmpty():
             break
