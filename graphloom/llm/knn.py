@@ -1,22 +1,23 @@
 """Most similar vectors for every vector (problem 5).
 
-Method. The vectors of a provider are spread over shards of bounded size. In a task one shard
-meets one block of queries: a vantage-point tree is built over the shard (a vantage point, the
-median distance to it, the nearer half inside and the farther half outside), every query first
+Method. The vectors of a provider are spread over shards of bounded size. A task takes one block
+of queries past all shards, one after the other: a vantage-point tree is built over a shard (a
+vantage point, the median distance to it, the nearer half inside and the farther half outside), every query first
 falls to its own leaf for a starting radius, and then descends to all children that the
 triangle inequality cannot rule out. The radius in that test is multiplied by `relax`: factor
 one restores exact search, smaller ones skip children that hold neighbors only rarely. Whole
 groups of queries go down together, so a leaf is one matrix product. The best candidates are
-scored again in double precision and merged over the shards.
+scored again in double precision and merged with those of the shards before.
 
 Vectors are compared by cosine, as Euclidean distance between unit vectors, which is a metric.
 With `least` given, only neighbors of at least that cosine are sought, and the radius starts
 there.
 
-Why it holds at size: shards and query blocks are of fixed size, so no task grows; each vector
-travels once per shard as a query and once per block as a target. All rows are indexed and
-searched. Work on data without structure grows with the square of the rows whatever the tree
-does; `relax` buys it back only where neighbors are much nearer than the average.
+Why it holds at size: every vector is written once, into files of the shared folder that tasks read
+shard by shard, so disk grows with the rows; shards and query blocks are of fixed size and a task
+holds one of each, so its memory does not grow. Its time does, with the number of shards. All rows
+are indexed and searched. Work on data without structure grows with the square of the rows whatever the
+tree does; `relax` buys it back only where neighbors are much nearer than the average.
 
 Cases. The row with the latest updated_at counts for each (uid, provider), ties going to the
 greater vector. Null, empty, zero, non-finite vectors and vectors of another length than `dim`
@@ -29,19 +30,31 @@ A provider with fewer than k + 1 vectors gives what there is. Empty tables give
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterable, Iterator
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+import pyarrow.parquet as pq
+from pyarrow.fs import FileSystem
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions.keys import normalize_uid
-from graphloom.session import broadcast_if_small, cut
+from graphloom.session import cut, remove, shared_folder
 
 K = 5
 DIM = 64
 SHARD_ROWS = 1 << 15
 QUERY_ROWS = 1 << 14
 LEAF_ROWS = 256
+#: Rows of a provider in one batch of a file, and of all providers in a file.
+BATCH_ROWS = 1 << 12
+FILE_ROWS = 1 << 16
+#: Blocks get a task each up to so many, whatever their size.
+FEW_TASKS = 64
 #: Candidates kept beyond k until they are scored in double precision.
 SPARE = 8
 #: More than float32 errs by in a cosine; more than that makes of a distance.
@@ -192,26 +205,116 @@ class _Targets:
         return out
 
 
+def _search_shard(shard: pa.Table, ask: np.ndarray, own: np.ndarray, k: int, relax: float, least: float | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Query, name and cosine of the k best neighbors of each query in a shard."""
+    targets = _Targets(shard["uid"].to_numpy(), _matrix(shard, "vector", ask.shape[1]), k)
+    rows, cos, _ = VpTree(targets.unit.astype(np.float32)).search(ask.astype(np.float32), k + 1 + SPARE, relax, least)
+    who, col = np.nonzero(rows >= 0)
+    who, to, sim = targets.best(ask, own, who, rows[who, col], least)
+    worst = np.full(len(own), np.inf)  # of k neighbors; fewer in a full list were under the least
+    np.minimum.at(worst, who, sim)
+    worst[np.bincount(who, minlength=len(own)) < k] = -np.inf if least is None else least
+    unsure = (rows >= 0).all(axis=1) & (cos.min(axis=1) >= worst - ERROR)
+    keep = ~unsure[who]
+    parts = [(who[keep], to[keep], sim[keep]), *targets.again(ask, own, np.flatnonzero(unsure), least)]
+    who, to, sim = (np.concatenate(x) for x in zip(*parts, strict=True))
+    return who, targets.names[to], sim
+
+
+class _Best:
+    """The k best neighbors so far of each query of a block."""
+
+    def __init__(self, n: int, k: int):
+        self.k, self.who, self.name, self.sim = k, np.empty(0, np.int64), np.empty(0, object), np.empty(0)
+        self.worst = np.full(n, -np.inf)  # the k-th, once there are k
+
+    def add(self, who: np.ndarray, name: np.ndarray, sim: np.ndarray) -> None:
+        keep = sim >= self.worst[who]
+        who, name, sim = who[keep], name[keep], sim[keep]
+        touched = np.zeros(len(self.worst), bool)
+        touched[who] = True
+        old = touched[self.who]
+        who, name, sim = np.concatenate([self.who[old], who]), np.concatenate([self.name[old], name]), np.concatenate([self.sim[old], sim])
+        order = np.lexsort((np.unique(name, return_inverse=True)[1], -sim, who))
+        who, name, sim = who[order], name[order], sim[order]
+        place = np.arange(len(who)) - np.searchsorted(who, who)
+        last, keep = place == self.k - 1, place < self.k
+        self.worst[who[last]] = sim[last]
+        self.who, self.name, self.sim = np.concatenate([self.who[~old], who[keep]]), np.concatenate([self.name[~old], name[keep]]), np.concatenate([self.sim[~old], sim[keep]])
+
+
 def _search_task(k: int, dim: int, relax: float, least: float | None):
-    schema = pa.schema([("provider", pa.string()), ("uid", pa.string()), ("neighbor", pa.string()), ("similarity", pa.float64())])
-
-    def run(shard: pa.Table, queries: pa.Table) -> pa.Table:
-        if not shard.num_rows or not queries.num_rows:
-            return schema.empty_table()
-        data, ask = _matrix(shard, "vector", dim), _matrix(queries, "vector", dim)
-        own, targets = queries["uid"].to_numpy(), _Targets(shard["uid"].to_numpy(), data, k)
-        rows, cos, _ = VpTree(targets.unit.astype(np.float32)).search(ask.astype(np.float32), k + 1 + SPARE, relax, least)
-        who, col = np.nonzero(rows >= 0)
-        who, to, sim = targets.best(ask, own, who, rows[who, col], least)
-        worst = np.full(len(own), np.inf)  # of k neighbors; fewer in a full list were under the least
-        np.minimum.at(worst, who, sim)
-        worst[np.bincount(who, minlength=len(own)) < k] = -np.inf if least is None else least
-        unsure = (rows >= 0).all(axis=1) & (cos.min(axis=1) >= worst - ERROR)
-        keep = ~unsure[who]
-        parts = [(who[keep], to[keep], sim[keep]), *targets.again(ask, own, np.flatnonzero(unsure), least)]
-        who, to, sim = (np.concatenate(x) for x in zip(*parts, strict=True))
+    schema = pa.schema([("provider", pa.string()), ("uid", pa.string()), ("neighbor", pa.string()), ("similarity", pa.float64()), ("rank", pa.int32())])
+
+    def run(shards: pa.Table | Iterable[pa.Table], queries: pa.Table) -> pa.Table:
+        ask, own, best = _matrix(queries, "vector", dim), queries["uid"].to_numpy(), _Best(queries.num_rows, k)
+        for shard in [shards] if isinstance(shards, pa.Table) else shards:
+            best.add(*_search_shard(shard, ask, own, k, relax, least))
+        order = np.argsort(best.who, kind="stable")
+        who, name, sim = best.who[order], best.name[order], best.sim[order]
+        rank = np.arange(len(who)) - np.searchsorted(who, who) + 1
         provider = queries["provider"].to_numpy()[who]
-        return pa.table([pa.array(provider, pa.string()), pa.array(own[who], pa.string()), pa.array(targets.names[to], pa.string()), pa.array(sim, pa.float64())], schema=schema)
+        return pa.table([pa.array(provider, pa.string()), pa.array(own[who], pa.string()), pa.array(name, pa.string()), pa.array(sim, pa.float64()), pa.array(rank, pa.int32())], schema=schema)
+
+    return run
+
+
+def _store_task(address: str, batch_rows: int):
+    """Writes provider, uid, vector into files; gives provider, file, batch and rows of what each batch of a file holds."""
+
+    def write(held: list[pa.RecordBatch], name: str) -> pa.RecordBatch:
+        files, folder = FileSystem.from_uri(address)
+        table = pa.Table.from_batches(held)
+        table = table.take(pc.sort_indices(table["provider"])).combine_chunks()
+        runs = pc.run_end_encode(table["provider"].combine_chunks())
+        out = []
+        with files.open_output_stream(f"{folder}/{name}") as sink, pa.ipc.new_file(sink, table.schema) as file:
+            low = 0
+            for provider, high in zip(runs.values.to_pylist(), runs.run_ends.to_pylist(), strict=True):
+                for at in range(low, high, batch_rows):
+                    rows = min(batch_rows, high - at)
+                    (batch,) = table.slice(at, rows).to_batches()
+                    file.write_batch(batch)
+                    out.append((provider, name, len(out), rows))
+                low = high
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.string(), pa.string(), pa.int32(), pa.int64()), strict=True)], ["provider", "file", "batch", "rows"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # A task that is run again writes files of its own; those of the first are in no list. The order of names is that of the rows.
+        part, number, held = TaskContext.get().partitionId(), 0, []
+        for batch in batches:
+            for at in range(0, batch.num_rows, FILE_ROWS):
+                held.append(batch.slice(at, FILE_ROWS))
+                if sum(b.num_rows for b in held) >= FILE_ROWS:
+                    yield write(held, f"{part:08}-{number:06}-{uuid.uuid4().hex}")
+                    number, held = number + 1, []
+        if held:
+            yield write(held, f"{part:08}-{number:06}-{uuid.uuid4().hex}")
+
+    return run
+
+
+def _block_task(address: str, k: int, dim: int, relax: float, least: float | None):
+    """For each provider and block the neighbors of the block's vectors, read with the shards from the files of _store_task."""
+    search = _search_task(k, dim, relax, least)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, folder = FileSystem.from_uri(address)
+
+        def read(places: pa.Table) -> pa.Table:
+            out = []
+            for name in sorted(set(places["file"].to_pylist())):
+                with files.open_input_file(f"{folder}/{name}") as source:
+                    file = pa.ipc.open_file(source)
+                    out += [file.get_batch(i) for i in sorted(places.filter(pc.field("file") == name)["batch"].to_pylist())]
+            return pa.Table.from_batches(out)
+
+        for batch in batches:
+            for task in batch.to_pylist():
+                places = pq.read_table(f"{folder}/places", filesystem=files, filters=pc.field("provider") == task["provider"])
+                shards = sorted(set(places["shard"].to_pylist()))
+                queries = read(places.filter(pc.field("block") == task["block"]))
+                yield from search((read(places.filter(pc.field("shard") == s)) for s in shards), queries).to_batches(BATCH_ROWS)
 
     return run
 
@@ -220,27 +323,21 @@ def most_similar(
     vectors: DataFrame, k: int = K, dim: int = DIM, relax: float = 1.0, least: float | None = None, shard_rows: int = SHARD_ROWS, query_rows: int = QUERY_ROWS
 ) -> DataFrame:
     """provider, uid, neighbor, similarity, rank: the k most similar vectors of every usable vector."""
-    base = cut(usable_vectors(vectors, dim))
-    many = base.groupBy("provider").agg(F.count(F.lit(1)).alias("n"))
-    sizes = cut(many.select("provider", F.ceil(F.col("n") / shard_rows).cast("int").alias("shards"), F.ceil(F.col("n") / query_rows).cast("int").alias("blocks")))
-    placed = base.join(broadcast_if_small(sizes), "provider")
-    h = F.xxhash64("uid")
-    fresh = [F.col(c).alias(c) for c in ("provider", "uid", "vector")]  # aliased: the two sides must not share columns
-    targets = placed.select(*fresh, F.pmod(h, F.col("shards")).cast("int").alias("shard"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    asks = placed.select(*fresh, F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"), F.pmod(F.xxhash64("uid", F.lit(1)), F.col("blocks")).cast("int").alias("block"))
-    keys = ["provider", "shard", "block"]
-    found = (
-        targets.groupBy(*keys)
-        .cogroup(asks.groupBy(*keys))
-        .applyInArrow(_search_task(k, dim, relax, least), "provider string, uid string, neighbor string, similarity double")
-    )
-    best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("similarity")).alias("s"), F.col("neighbor").alias("n")))), 1, k)
-    return (
-        found.groupBy("provider", "uid")
-        .agg(best.alias("best"))
-        .select("provider", "uid", F.posexplode("best").alias("rank", "b"))
-        .select("provider", "uid", F.col("b.n").alias("neighbor"), (-F.col("b.s")).alias("similarity"), (F.col("rank") + 1).alias("rank"))
-    )
+    spark = vectors.sparkSession
+    folder, address = shared_folder(spark, "vectors")
+    try:
+        store = _store_task(address, min(BATCH_ROWS, shard_rows, query_rows))
+        stored = cut(usable_vectors(vectors, dim).mapInArrow(store, "provider string, file string, batch int, rows long"))
+        own = Window.partitionBy("provider")
+        before, n = F.sum("rows").over(own.orderBy("file", "batch")) - F.col("rows"), F.sum("rows").over(own)
+        part = lambda size: F.floor(before * F.ceil(n / size) / n)
+        stored.select("provider", "file", "batch", "rows", part(shard_rows).alias("shard"), part(query_rows).alias("block")).write.parquet(f"{folder}/places")
+        tasks = cut(spark.read.parquet(f"{folder}/places").groupBy("provider", "block").agg(F.sum("rows").alias("rows")))
+        sizes = tasks.agg(F.count(F.lit(1)).alias("tasks"), F.sum("rows").alias("rows")).first()
+        spread = tasks.coalesce(1).repartition(max(1, min(sizes["tasks"], FEW_TASKS + 2 * (sizes["rows"] or 0) // query_rows)))  # small providers share tasks
+        return cut(spread.mapInArrow(_block_task(address, k, dim, relax, least), "provider string, uid string, neighbor string, similarity double, rank int"))
+    finally:
+        remove(spark, folder)
 
 
 def similar_pairs(vectors: DataFrame, least: float = 0.9, k: int = K, relax: float = 1.0) -> DataFrame:

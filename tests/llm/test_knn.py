@@ -1,3 +1,5 @@
+from pathlib import Path
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -5,6 +7,7 @@ from helpers import VECTORS, day, frame
 from pyspark.sql import functions as F
 
 from graphloom.llm import knn
+from graphloom.session import checkpoint_root
 
 
 def clustered(seed, n=1500, dim=64):
@@ -98,3 +101,31 @@ def test_ties_go_to_the_smaller_uids(least):
     assert all(got[i] == [j for j in equal if j != i][:5] for i in equal)
     assert got[one] == mixed[:5].tolist()
     assert all(got[i] == [one, *[j for j in mixed if j != i][:4]] for i in mixed)
+
+
+def test_vectors_are_copied_once_however_many_shards_there_are(spark):
+    def written(shard_rows, query_rows):
+        store, sc = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._jsc.sc()
+        sc.listenerBus().waitUntilEmpty()
+        before = store.executorSummary("driver").totalShuffleWrite()
+        rows = knn.most_similar(df, shard_rows=shard_rows, query_rows=query_rows).collect()
+        sc.listenerBus().waitUntilEmpty()
+        return sorted(rows), store.executorSummary("driver").totalShuffleWrite() - before
+
+    df = frame(spark, VECTORS, table(spark, clustered(3, 600)) + table(spark, clustered(6, 90), "q"))
+    few, less = written(600, 600)
+    many, more = written(25, 100)  # 24 shards and 6 blocks of p
+    assert [r[:3] + r[4:] for r in few] == [r[:3] + r[4:] for r in many]
+    assert more < 1.5 * less
+    folder = Path(checkpoint_root(spark).removeprefix("file:"))
+    assert folder.is_dir() and not list(folder.glob("**/vectors-*"))  # the files are gone
+
+
+def test_neighbors_of_several_shards_are_merged_with_ties():
+    x = np.concatenate([np.ones((30, 64)), np.eye(64)[:1], np.eye(64)[:1] + np.eye(64)[1:41]]).astype(np.float32)
+    order = np.random.default_rng(6).permutation(len(x))
+    rows = pa.table({"provider": ["p"] * len(x), "uid": [f"e:{i:05}" for i in order], "vector": [x[i] for i in order]})
+    search = knn._search_task(5, 64, 1.0, None)
+    whole = search(rows, rows).to_pylist()
+    assert [(r["uid"], r["neighbor"], r["rank"]) for r in search((rows.slice(i, 9) for i in range(0, len(x), 9)), rows).to_pylist()] == [(r["uid"], r["neighbor"], r["rank"]) for r in whole]
+    assert [r["neighbor"] for r in whole if r["uid"] == "e:00000"] == [f"e:{i:05}" for i in range(1, 6)]
