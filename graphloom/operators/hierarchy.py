@@ -1,9 +1,9 @@
 """Parent-child links to full hierarchies (problem 4).
 
 Method. Leaves and roots are peeled round by round; where a round peels little, nodes with one
-link in and one out are spliced out of their chains, so that a chain of any length is gone after
-a number of rounds that grows with its logarithm. What never peels is the core, and the strongly
-connected components of the core are the cycles. With the links into cycle nodes taken out the
+link in or one link out are folded into the node at its other end, so that chains of any length and
+trees of any depth are gone after a number of rounds that grows with its logarithm. What never peels or folds is the
+core, whose ways are short for its size, and the strongly connected components of the core are the cycles. With the links into cycle nodes taken out the
 rest is a forest. Its Euler tours are built as linked lists of arcs (each node is entered once
 and left once) and ranked in parallel: first every range of neighboring nodes contracts the
 stretches that lie inside it, then random-mate contraction shortens what runs between ranges,
@@ -67,50 +67,61 @@ def encode(link: DataFrame) -> tuple[DataFrame, DataFrame]:
         seed += 1
 
 
-def _splice(edges: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
-    """The links with some chain nodes spliced out, and those nodes (id, before, after).
+def _fold(edges: DataFrame, turn: int, end: str) -> tuple[DataFrame, DataFrame]:
+    """The links with some nodes of a single link in (end dst) or out (end src) folded into its other node, and those nodes (id, before, after).
 
-    A chain node has one link in and one out. It goes if its coin is greater than those of both neighbors,
-    so no two neighbors go at once.
+    A folded node hands its further links on, a row of it for each; one to the node it went into is not kept as a link. A
+    node goes if its coin is 1, unless the node it would go into goes, so what it is linked to stays.
     """
-    single = lambda end, other, name: edges.groupBy(F.col(end).alias("id")).agg(F.count(F.lit(1)).alias("n"), F.min(other).alias(name)).where("n = 1").drop("n")
-    coin = lambda c: F.xxhash64(F.col(c), F.lit(turn))
-    chain = single("dst", "src", "before").join(single("src", "dst", "after"), "id").where("before <> id AND after <> id")
-    out = cut(chain.where((coin("id") > coin("before")) & (coin("id") > coin("after"))).select("id", "before", "after"))
+    other = "src" if end == "dst" else "dst"
+    single = edges.groupBy(F.col(end).alias("id")).agg(F.count(F.lit(1)).alias("n"), F.min(other).alias("to")).where("n = 1").select("id", "to")
+    heads = single.where(F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(2)) == 1)
+    go = heads.join(heads.select(F.col("id").alias("to")), "to", "left_anti").withColumnRenamed("id", other)
+    ends = ("to", "dst") if end == "dst" else ("src", "to")
+    out = cut(edges.join(go, other).select(F.col(other).alias("id"), F.col(ends[0]).alias("before"), F.col(ends[1]).alias("after")))
     gone = broadcast_if_small(out.select("id"))
     rest = edges.join(gone, edges.src == gone.id, "left_anti").join(gone, edges.dst == gone.id, "left_anti")
-    return cut(rest.unionByName(out.select(F.col("before").alias("src"), F.col("after").alias("dst"))).distinct()), out
+    return cut(rest.unionByName(out.where("before <> after").select(F.col("before").alias("src"), F.col("after").alias("dst"))).distinct()), out
 
 
 def peel(edges: DataFrame, local: int = LOCAL_LINKS) -> tuple[DataFrame, int, list[DataFrame]]:
-    """The links left after peeling nodes without a parent or without a child, their number, and the nodes spliced out.
+    """The links left after peeling nodes without a parent or without a child, their number, and the nodes folded, turn by turn.
 
-    Stops when nothing peels or splices any more, or when what is left fits one task.
+    No node may link to itself. Stops when nothing peels or folds any more, or when what is left fits one task.
     """
     edges = cut(edges)
-    n, turn, spliced = edges.count(), 0, []
+    n, folded = edges.count(), []
     while n > local:
         has_parent = edges.select(F.col("dst").alias("src")).distinct()
         has_child = edges.select(F.col("src").alias("dst")).distinct()
         edges = cut(edges.join(has_parent, "src", "left_semi").join(has_child, "dst", "left_semi"))
         m = edges.count()
         if m > n * SLOW and m > local:
-            edges, out = _splice(edges, turn)
-            spliced.append(out)
+            for end in ("dst", "src"):
+                edges, out = _fold(edges, len(folded), end)
+                folded.append(out)
             m = edges.count()
-            turn += 1
         if m == n:
             break
         n = m
-    return edges, n, spliced
+    return edges, n, folded
 
 
-def _rejoin(found: DataFrame, spliced: list[DataFrame]) -> DataFrame:
-    """id, cycle with the spliced nodes put back: one is on a cycle if the nodes before and after it are on the same."""
-    for out in reversed(spliced):
+def _with_loops(found: DataFrame, loops: DataFrame) -> DataFrame:
+    """id, cycle with the nodes (id) that are a cycle by themselves, unless they lie on a greater one."""
+    return found.unionByName(loops.distinct().join(found, "id", "left_anti").select("id", F.col("id").alias("cycle")))
+
+
+def _rejoin(found: DataFrame, folded: list[DataFrame]) -> DataFrame:
+    """id, cycle with the folded nodes put back: one is on a cycle if nodes before and after it are on the same.
+
+    A node that one was folded into and that comes after it as well is on a cycle, at least on that of the two.
+    """
+    for out in reversed(folded):
+        found = _with_loops(found, out.where("before = after").select(F.col("before").alias("id")))
         before = found.select(F.col("id").alias("before"), "cycle")
         after = found.select(F.col("id").alias("after"), "cycle")
-        found = cut(found.unionByName(out.join(before, "before").join(after, ["after", "cycle"]).select("id", "cycle")))
+        found = cut(found.unionByName(out.join(before, "before").join(after, ["after", "cycle"]).select("id", "cycle").distinct()))
     return found
 
 
@@ -174,58 +185,51 @@ def _components(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame({"id": names[on], "cycle": label[comp_][on]})
 
 
-def _components_distributed(edges: DataFrame, local: int = LOCAL_LINKS) -> DataFrame:
-    """id, cycle by forward and backward coloring: a color is the least id that reaches a node."""
-    found = edges.where("src = dst").select(F.col("src").alias("id"), F.col("src").alias("cycle"))
-    rest = edges.where("src <> dst")
-    turns: list[list[DataFrame]] = []
+def _color(edges: DataFrame) -> DataFrame:
+    """id, color by forward and backward coloring: a color is the least id that reaches a node, and the nodes are those that reach it as well."""
+    color = cut(edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct().withColumn("color", F.col("id")))
     while True:
-        rest, n, spliced = peel(rest, local)
-        turns.append(spliced)
-        if n <= local:
-            found = found.unionByName(rest.coalesce(1).mapInPandas(_components, "id bigint, cycle bigint"))
+        pushed = edges.join(color, edges.src == color.id).select(F.col("dst").alias("id"), "color")
+        new = cut(color.unionByName(pushed).groupBy("id").agg(F.min("color").alias("color")))
+        still = new.join(color, ["id", "color"], "left_anti").isEmpty()
+        color = new
+        if still:
             break
-        # A cycle that was spliced down to one node is a link from it to itself.
-        found = found.unionByName(rest.where("src = dst").select(F.col("src").alias("id"), F.col("src").alias("cycle")))
-        rest = cut(rest.where("src <> dst"))
-        color = cut(rest.select(F.explode(F.array("src", "dst")).alias("id")).distinct().withColumn("color", F.col("id")))
-        while True:
-            pushed = rest.join(color, rest.src == color.id).select(F.col("dst").alias("id"), "color")
-            new = cut(color.unionByName(pushed).groupBy("id").agg(F.min("color").alias("color")))
-            still = new.join(color, ["id", "color"], "left_anti").isEmpty()
-            color = new
-            if still:
-                break
-        same = cut(
-            rest.join(color.select(F.col("id").alias("src"), F.col("color").alias("c1")), "src")
-            .join(color.select(F.col("id").alias("dst"), F.col("color").alias("c2")), "dst")
-            .where("c1 = c2")
-            .select("src", "dst", F.col("c1").alias("color"))
-        )
-        back = cut(color.where("id = color"))
-        fresh = back
-        while not fresh.isEmpty():
-            step = same.join(fresh.select(F.col("id").alias("dst"), "color"), ["dst", "color"]).select(F.col("src").alias("id"), "color").distinct()
-            fresh = cut(step.join(back, ["id", "color"], "left_anti"))
-            back = cut(back.unionByName(fresh))
-        many = back.groupBy("color").count().where("count > 1").select("color")
-        found = found.unionByName(back.join(many, "color", "left_semi").select("id", F.col("color").alias("cycle")))
-        gone = back.select("id")
-        rest = rest.join(gone, rest.src == gone.id, "left_anti").join(gone, rest.dst == gone.id, "left_anti")
-    # A node can loop to itself and lie on a greater cycle as well.
-    found = cut(found.groupBy("id").agg(F.min("cycle").alias("cycle")))
-    for spliced in reversed(turns):
-        found = _rejoin(found, spliced)
-    return found
+    same = cut(
+        edges.join(color.select(F.col("id").alias("src"), F.col("color").alias("c1")), "src")
+        .join(color.select(F.col("id").alias("dst"), F.col("color").alias("c2")), "dst")
+        .where("c1 = c2")
+        .select("src", "dst", F.col("c1").alias("color"))
+    )
+    back = cut(color.where("id = color"))
+    fresh = back
+    while not fresh.isEmpty():
+        step = same.join(fresh.select(F.col("id").alias("dst"), "color"), ["dst", "color"]).select(F.col("src").alias("id"), "color").distinct()
+        fresh = cut(step.join(back, ["id", "color"], "left_anti"))
+        back = cut(back.unionByName(fresh))
+    return back
 
 
 def cycle_nodes(edges: DataFrame, local: int = LOCAL_LINKS) -> DataFrame:
     """id, cycle (the least id on it) for the nodes on a cycle of src -> dst."""
-    core, n, spliced = peel(edges, local)
-    found = core.coalesce(1).mapInPandas(_components, "id bigint, cycle bigint") if n <= local else _components_distributed(core, local)
-    if not spliced:
+    rest, found, folded = edges.where("src <> dst"), None, []
+    while True:
+        rest, n, more = peel(rest, local)
+        folded += more
+        last = n <= local
+        if last:
+            part = rest.coalesce(1).mapInPandas(_components, "id bigint, cycle bigint")
+        else:
+            back = _color(rest)
+            many = back.groupBy("color").count().where("count > 1").select("color")
+            part = back.join(many, "color", "left_semi").select("id", F.col("color").alias("cycle"))
+            rest = rest.join(back, rest.src == back.id, "left_anti").join(back, rest.dst == back.id, "left_anti")
+        found = part if found is None else found.unionByName(part)
+        if last:
+            break
+    found = cut(_with_loops(_rejoin(cut(found), folded), edges.where("src = dst").select(F.col("src").alias("id"))))
+    if not folded:
         return found
-    found = cut(_rejoin(cut(found), spliced))
     least = found.groupBy("cycle").agg(F.min("id").alias("least"))
     return found.join(least, "cycle").select("id", F.col("least").alias("cycle"))
 

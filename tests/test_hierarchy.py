@@ -4,6 +4,7 @@ import numpy as np
 import pandas as pd
 import pytest
 from helpers import RELATIONS, edge, frame
+from pyspark.sql import functions as F
 
 from graphloom.operators import hierarchy as H
 
@@ -85,6 +86,26 @@ def test_long_chains_and_cycles_are_spliced(spark):
         assert {x["uid"]: x["cycle_uid"] for x in H.cycle_uids(r, local=local).collect()} == {f"c:{i:03}": "c:000" for i in range(90)} | {"d:1": "d:1", "d:2": "d:1"}
 
 
+def test_trees_between_cycles_are_folded(spark):
+    down = [(f"d:{i // 2:02}", f"d:{i:02}") for i in range(2, 64)]
+    up = [(f"u:{i:02}", f"u:{i // 2:02}") for i in range(2, 64)]
+    pairs = [*down, *up, *((f"d:{i}", f"u:{i}") for i in range(32, 64)), ("u:01", "d:01"), ("u:02", "u:02"), ("x:1", "d:05"), ("u:07", "x:2")]
+    r = contains(spark, pairs)
+    _, edges = H.encode(H.links(r))
+    assert H.peel(edges.where("src <> dst"), 0)[1] < 12
+    want = {x: "d:01" for p in pairs for x in p if x[0] != "x"}
+    assert {x["uid"]: x["cycle_uid"] for x in H.cycle_uids(r, local=0).collect()} == want
+
+
+def test_sizes_estimated_in_a_loop_stay_small(spark):
+    df = H.cut(spark.range(3).withColumn("cycle", F.col("id")))
+    for _ in range(6):
+        before, after = df.withColumnRenamed("id", "before"), df.withColumnRenamed("id", "after")
+        df = H.cut(df.unionByName(before.join(after, "cycle").select(F.col("before").alias("id"), "cycle")).distinct())
+    assert df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < 1 << 64
+    assert {(x["id"], x["cycle"]) for x in df.collect()} == {(i, i) for i in range(3)}
+
+
 def test_stretches_of_a_range():
     x, nxt = np.array([1, 2, 3, 7, 8, 9]), np.array([2, 7, 50, 8, 9, -1])
     at, dist, first = H._chains(x, nxt)
