@@ -4,6 +4,7 @@ from types import SimpleNamespace
 
 import pytest
 from helpers import ENTITIES, FILES, RELATIONS, SOURCES, UNRESOLVED, edge, entity, frame
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from graphloom.operators import contextpack, merge, textsearch, traverse, validate, vector
@@ -223,6 +224,28 @@ def test_ann_top_k_ranks_candidates_and_falls_back(spark):
     assert len(want) == 10 and {u for _, u in want} == set(got["z:far"])
 
 
+def test_block_search_equals_the_expressions(spark, monkeypatch):
+    import random
+
+    rng = random.Random(8)
+    rows = [(f"v:{i:03}", [rng.gauss(0, 1) for _ in range(8)]) for i in range(200)]
+    rows += [(f"w:{i:03}", rows[i % 3][1]) for i in range(40)]  # ties
+    rows += [("x:zero", [0.0] * 8), ("x:short", [1.0] * 7), ("x:null", None), ("x:hole", [1.0, None] * 4), ("x:nan", [float("nan")] * 8), ("x:huge", [1e200] * 8)]
+    for name in ("BLOCK_ROWS", "ASK_ROWS", "HELD_ROWS"):
+        monkeypatch.setattr(vector, name, 16)
+    v = spark.createDataFrame(rows, "uid string, vector array<double>").cache()
+    asks = v.where("uid LIKE '%5' OR uid LIKE 'x%' OR uid = 'w:001'")
+    pairs = asks.select(F.col("uid").alias("query"), F.col("vector").alias("q")).crossJoin(v).where("query <> uid").select("query", "uid", vector.cosine(F.col("q"), F.col("vector")).alias("similarity"))
+    order = lambda rows: {(r["query"], r["rank"], r["uid"], str(r["similarity"] + 0.0)) for r in rows.collect()}
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("similarity"), "uid"))
+    assert order(vector.nearest(v, asks, 8, 10)) == order(pairs.withColumn("rank", rank).where("rank <= 10"))
+    cand = vector.ann_candidates(v, asks, 8).where("query <> uid").withColumn("n", F.count("uid").over(Window.partitionBy("query")))
+    most = pairs.join(cand, ["query", "uid"], "left").withColumn("n", F.coalesce(F.max("n").over(Window.partitionBy("query")), F.lit(0))).join(cand.select("query", "uid", F.lit(1).alias("hit")), ["query", "uid"], "left")
+    assert order(vector.ann_top_k(v, asks, 8, 10)) == order(most.where("similarity > 0 AND (hit = 1 OR n < 10)").withColumn("rank", rank).where("rank <= 10"))
+    plan = vector.nearest(v, asks, 8, 10)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "zip_with" not in plan  # no expression for each pair of rows
+
+
 def test_ann_candidates_probe_every_bit(spark):
     import random
 
